@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import encodings, truncation
+from millrace.llm import encodings, leakage, mixing, truncation
 
-MODULES = (truncation, encodings)
+MODULES = (truncation, encodings, leakage, mixing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in getattr(m, "ORACLES", {}).items()}
