@@ -97,7 +97,7 @@ class Lowering:
         if ka == "null" or kb == "null":
             return F.lit(None).cast("boolean")
         if ka == kb == "string":
-            return _plain(op, _text(a), _text(b))
+            return _strings(op, a, b)
         if {ka, kb} <= {"number", "double"}:
             if "double" in (ka, kb):
                 return _double(op, a, b)
@@ -189,6 +189,21 @@ def _text(x: Any) -> Column:
     return F.lit(x.value.rstrip(" ")) if isinstance(x, _Lit) else F.rtrim(x)
 
 
+def _strings(op: str, a: Any, b: Any) -> Column:
+    """Trailing blanks ignored. What a comparison with a literal implies of the bare column goes along, since only that
+    can be pushed into a scan."""
+    if isinstance(a, _Lit) and not isinstance(b, _Lit):
+        return _strings({"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), b, a)
+    whole = _plain(op, _text(a), _text(b))
+    if isinstance(b, _Lit) and not isinstance(a, _Lit):
+        text = b.value.rstrip(" ")
+        if op == "=" and text:
+            return whole & a.startswith(text)
+        if op in (">", ">="):
+            return whole & _plain(op, a, F.lit(text))
+    return whole
+
+
 def _moment(x: Any, position: int) -> Column:
     if isinstance(x, _Lit):
         v = x.value
