@@ -30,10 +30,11 @@ class Field:
     source: str = "source_sys"
 
 
-#: Share of ends below which a word sequence is almost never terminal, in texts that fill their source's length too; weight
-#: of a lower level in a higher one; least continuations; share of whole words below which a final is a mere word fragment;
+#: Share of ends below which a word sequence is almost never terminal, in texts that fill their source's length too, and in
+#: the context of a word of three letters and more that is itself almost never terminal (letters alone may be directions);
+#: weight of a lower level in a higher one; least continuations; share of whole words below which a final is a mere word fragment;
 #: share of ends expected of a whole word that is rare, and the weight of that.
-PARAMETERS = {"rate": 0.03, "rate_full": 0.08, "weight": 10, "least": 5, "fragment": 0.02, "rate_word": 0.06, "weight_word": 50}
+PARAMETERS = {"rate": 0.03, "rate_full": 0.08, "rate_long": 0.2, "weight": 10, "least": 5, "fragment": 0.02, "rate_word": 0.06, "weight_word": 50}
 
 WORDS = r"\p{L}[\p{L}'']*|9+([.,]9+)*|[^\s\p{L}9]"
 
@@ -68,12 +69,13 @@ judged AS (
   FROM s3 JOIN two ON s3.table_name = two.table_name AND s3.b = two.b AND s3.p = two.p WHERE s3.finals > 0),
 ending AS (SELECT table_name, t, n, free, {last3} AS a, {last2} AS b, {last1} AS p FROM worded),
 rates AS (
-  SELECT e.table_name, e.t, fragment, CASE WHEN free < n THEN {rate_full} ELSE {rate} END AS rate, g1, e1 - free AS x1, g2, e2 - free AS x2, g3, e3 - free AS x3
+  SELECT e.table_name, e.t, fragment, CASE WHEN free < n THEN {rate_full} ELSE {rate} END AS rate,
+         CASE WHEN length(e.p) >= 3 OR e.p = ',' THEN {rate_long} WHEN free < n THEN {rate_full} ELSE {rate} END AS context_rate, g1, e1 - free AS x1, g2, e2 - free AS x2, g3, e3 - free AS x3
   FROM ending e JOIN judged j ON e.table_name = j.table_name AND e.a = j.a AND e.b = j.b AND e.p = j.p),
 level1 AS (SELECT *, CASE WHEN fragment = 1 THEN (x1 + {weight} * {rate} / 2) / (g1 + x1 + {weight}) ELSE (x1 + {weight_word} * {rate_word}) / (g1 + x1 + {weight_word}) END AS r1 FROM rates),
 level2 AS (SELECT *, (x2 + {weight} * r1) / (g2 + x2 + {weight}) AS r2 FROM level1),
 level3 AS (SELECT *, (x3 + {weight} * r2) / (g3 + x3 + {weight}) AS r3 FROM level2),
-cut AS (SELECT table_name, t FROM level3 WHERE r1 < rate AND (fragment = 1 OR r2 < rate AND r3 < rate))
+cut AS (SELECT table_name, t FROM level3 WHERE r1 < rate AND (fragment = 1 OR r2 < context_rate AND r3 < context_rate))
 """
 
 _SPARK = {
