@@ -99,7 +99,7 @@ def personal(documents: DataFrame, weights: str | None = None) -> DataFrame:
             spans = [exact_spans(t, m) for t, m in zip(texts, T.tag_texts(p.value, texts))]
             keep = [bool(s) for s in spans]
             out = pdf[keep].copy()
-            out["spans"] = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans if s]
+            out["spans"] = pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans if s], index=out.index, dtype=object)
             yield out[["doc_id", "text", "spans"]]
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")

@@ -103,7 +103,7 @@ def written(count: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, s
             out.append((r.choice(_NOTHING).format(a=r.randint(100, 999), b=r.randint(1000, 99999), c=r.randint(2, 90)), []))
             continue
         kind = r.choice(T.KINDS)
-        before, after = r.choice(_FRAMES[kind]).replace("{{", "{").replace("}}", "}").split("{}") if "{}}" not in (f := r.choice(_FRAMES[kind])) else f.replace("{{", "\x01").replace("}}", "\x02").replace("{}", "\x03").replace("\x01", "{").replace("\x02", "}").split("\x03")
+        before, after = r.choice(_FRAMES[kind]).format("\x00").split("\x00") if kind == "phone" else r.choice(_FRAMES[kind]).split("{}")
         v = _value(kind, r)
         out.append((before + v + after, [(len(before), len(before) + len(v), kind)]))
     return out
