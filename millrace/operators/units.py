@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import broadcast_if_small, cut_lineage
 
 # Unit of text -> (base, factor to grams, millilitres or pieces).
 UNITS = {
@@ -201,7 +201,7 @@ def _with_scale(priced: DataFrame, scales: DataFrame) -> DataFrame:
     )
     per_source = starts.groupBy("source").agg(F.collect_list(F.struct("from", "to", "scale")).alias("segments"))
     hit = F.filter("segments", lambda s: (F.col("day") >= s["from"]) & (F.col("day") < s["to"]))
-    return priced.join(per_source, "source", "left").withColumn("scale", F.coalesce(hit[0]["scale"], F.lit("pack"))).drop("segments")
+    return priced.join(broadcast_if_small(per_source), "source", "left").withColumn("scale", F.coalesce(hit[0]["scale"], F.lit("pack"))).drop("segments")
 
 
 def close_pairs(rows: DataFrame, value: str, tolerance: float = 0.005) -> DataFrame:
