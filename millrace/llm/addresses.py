@@ -62,10 +62,10 @@ def folded(text: str) -> str:
             else:
                 break
         out = []
-        for c in unicodedata.normalize("NFKC", text).lower():
-            base = _LETTERS.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            out.append(base if base.isascii() else "�")
-        text = re.sub("�+", "?", "".join(out).replace("\x00", "?"))
+        for c in text.lower():
+            base = c if c.isascii() or not c.isalpha() else _LETTERS.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            out.append(base if base.isascii() else "\x00")
+        text = re.sub("\x00+", "?", "".join(out))
     return text.lower()
 
 
@@ -173,7 +173,7 @@ def components(address: str | None) -> tuple[str, str, str, str, bool] | None:
                 street.append(m[1])
             k += 1
             continue
-        if ended or w in LANDMARKS and (street or number is None and not street):
+        if ended or w == "old" and street or w in LANDMARKS and (street or number is None and not street):
             if w in LANDMARKS and not street:
                 k += 1
                 continue
@@ -184,7 +184,7 @@ def components(address: str | None) -> tuple[str, str, str, str, bool] | None:
             if number is None and rest:
                 number = rest[-1]
             continue
-        if w in DIRECTIONS and not direction and (not street or kind or k == len(words) - 1 or words[k + 1] == "," or words[k + 1].isdigit() or words[k + 1] in LANDMARKS or words[k + 1] in UNITS or words[k + 1] == "no"):
+        if w in DIRECTIONS and not direction and (len(w) != 2 or w in ("no", "so") or not street) and (not street or kind or k == len(words) - 1 or words[k + 1] == "," or words[k + 1].isdigit() or words[k + 1] in LANDMARKS or words[k + 1] in UNITS or words[k + 1] == "no"):
             after = [x for x in words[k + 1 :] if x != "," and not x.isdigit()]
             if street or after and not (len(after) == 1 and _type(after[0]) and not any(re.match(r"\d", x) for x in words[k + 1 :])):
                 direction = DIRECTIONS[w]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage, table
+from millrace.session import broadcast_if_small, cut_lineage, table
 
 #: A vocabulary of a public tokenizer: byte-level ranks, one per line. Every executor must see this path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -59,7 +59,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
     want = targets.groupBy(F.col("doc_source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).where("source is not null and share > 0 and most > 0")
     docs = documents.select(F.col("doc_id"), F.col("source"), F.col("text")).where("doc_id is not null and text is not null and text <> ''")
     count = F.pandas_udf(token_counts(tokenizer), "bigint")
-    named = docs.join(targets.select(F.col("doc_source").alias("source")).distinct(), "source", "left_semi")
+    named = docs.join(broadcast_if_small(targets.select(F.col("doc_source").alias("source")).distinct()), "source", "left_semi")
     sized = cut_lineage(named.select("doc_id", "source", count("text").alias("tokens")).where("tokens > 0"))
     have = sized.groupBy("source").agg(F.sum("tokens").alias("have"))
     have = have.withColumn("total", F.sum("have").over(Window.partitionBy(F.lit(0))))  # a row per source
@@ -73,13 +73,13 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
     # the rank's place among all possible ranks, in buckets of equal probability
     ranked = (
-        sized.join(plan, "source").withColumn("u", u).withColumn("rank", F.when(F.col("chance") > 0, odds).otherwise(F.lit(float("inf"))))
+        sized.join(broadcast_if_small(plan), "source").withColumn("u", u).withColumn("rank", F.when(F.col("chance") > 0, odds).otherwise(F.lit(float("inf"))))
         .withColumn("bucket", F.floor(F.when(F.col("chance") > 0, F.col("rank") / (1 + F.col("rank"))).otherwise(F.lit(1.0)) * BUCKETS))
     )
     sums = ranked.where("chance > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = sums.withColumn("before", before).where("before < rest and before + size >= rest").groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("last"))
-    marked = ranked.join(last, "source", "left").withColumn("edge", F.coalesce(F.col("last.bucket"), F.lit(BUCKETS + 1)))
+    marked = ranked.join(broadcast_if_small(last), "source", "left").withColumn("edge", F.coalesce(F.col("last.bucket"), F.lit(BUCKETS + 1)))
     # documents of the last bucket alone are ordered: taken while the tokens before them, and half their own, still fit
     order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = marked.where("chance > 0 and bucket = edge").withColumn("start", F.col("last.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
