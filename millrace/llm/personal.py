@@ -37,7 +37,7 @@ GRAMMAR = {
     "phone": re.compile(r"(?<![\w.+-])(?:(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?\(?\d{2,5}\)?(?:[ .-]?\d{2,6}){1,3}|0\d{3,4}[ .-]\d{5,7}|[2-9]\d{9})(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w]|[.-]\d)"),
     "id_number": re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[A-Z]{2}\d{7}|[A-Z]{2} \d{7})(?![\w]|-\d)"),
     "street_address": re.compile(rf"(?<![\w.-])(?:\d{{1,5}}[A-Z]? (?:(?:[NSEW]\.?|North|South|East|West|[NS][EW]) )?(?:\d+(?:st|nd|rd|th)|{_WORD})(?: {_WORD}){{0,2}}? {_TYPE}(?![\w])(?: (?:North|South|East|West|[NSEW])\b\.?)?{_UNIT}{_CITY}|(?:P\. ?O\. ?|PO |Post Office )Box \d+{_CITY})"),
-    "person_name": re.compile(rf"(?<![\w@.])(?<![\w]-)(?:{_WORD}(?:-{_WORD})?|[{_UP}]\.)(?: [{_UP}]\.)? (?:(?:van|von|de|der|da|del|di|la|le|bin|al) )?[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:['’-][{_UP}]?[{_LOW}{_UP}]+)*(?![\w@])"),
+    "person_name": re.compile(rf"(?<![\w@.])(?<![\w]-)(?:{_WORD}, {_WORD}(?:-{_WORD})?(?: [{_UP}]\.)?|(?:{_WORD}(?:-{_WORD})?|[{_UP}]\.)(?: [{_UP}]\.)? (?:(?:van|von|de|der|da|del|di|la|le|bin|al) )?[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:['’-][{_UP}]?[{_LOW}{_UP}]+)*)(?![\w@])"),
 }
 #: Words after a first name that make no surname (fixed values).
 NO_SURNAME = set("Call Complete Period Grid Tree View Candidate Descriptor Record Key Index Table Release Node Page Row Column Schema Field Memo Block Offset Header Tag Buffer Cursor Of And The".split())
@@ -56,6 +56,10 @@ def name_matches(line: str, first_names: set[str]) -> list[tuple[int, int]]:
     out = []
     for m in matches("person_name", line):
         words = m[0].split()
+        if words[0].endswith(","):
+            if re.split("-", words[1])[0] in first_names and words[0][:-1].capitalize() not in NO_SURNAME and len(words[0]) > 4:
+                out.append((m.start(), m.end()))
+            continue
         lead = re.split("[-]", words[0])[0]
         if words[-1].capitalize() in NO_SURNAME or len(words[-1]) < 4:
             continue
@@ -79,7 +83,7 @@ def exact_spans(text: str, marks: list[tuple[int, int, str]]) -> list[tuple[int,
         best = max(((2 * (min(b, y) - max(a, x)) - max(b, y) + min(a, x), x, y) for x, y in lines[key]), default=(0, 0, 0))
         both = min(b, best[2]) - max(a, best[1])
         if both > 0 and 2 * both >= min(b - a, best[2] - best[1]):
-            if kind == "person_name" and text[best[1] : best[2]].split()[-1].capitalize() in NO_SURNAME:
+            if kind == "person_name" and {w.strip(",").capitalize() for w in text[best[1] : best[2]].split()} & NO_SURNAME:
                 continue
             found.add((best[1], best[2], kind))
     out: list[tuple[int, int, str]] = []

@@ -43,7 +43,7 @@ def _value(kind: str, r: random.Random) -> str:
     if kind == "person_name":
         if r.random() < 0.15:
             first = f"{first}-{r.choice(_FIRST)}"
-        name = r.choice([f"{first} {last}", f"{first} {last}", f"{first} {r.choice('ABCDEM')}. {last}", f"{first[0]}. {last}"])
+        name = r.choice([f"{first} {last}", f"{first} {last}", f"{first} {r.choice('ABCDEM')}. {last}", f"{first[0]}. {last}", f"{last}, {first}"])
         return name.upper() if r.random() < 0.08 else name
     if kind == "email":
         user = r.choice([f"{first}.{last}", f"{last}_{first}", f"{first[0]}{last}", f"{first}{d(2)}", f"{first}.{last}+git"]).lower()
