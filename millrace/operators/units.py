@@ -7,7 +7,8 @@ dynamic programming over the days. Level shifts thus always match a known factor
 
 Defined cases: a null, blank or incompletely parsed pack text (a cut one ends in a word fragment) gives null contents;
 a null or non-positive price takes no part in the search and gets a null pack price; an empty table gives an empty result.
-Only the named input columns are read, so extra columns never clash. Repeated rows count as rows.
+Only the named input columns are read, so extra columns never clash. Rows loaded twice under keys of their own count as
+rows; a row repeated with its key counts once.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def common_units(df: DataFrame, key: str, product: str, pack_text: str, price: s
         F.col(key).alias("key"), F.col(product).alias("product"), F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.unix_date(F.to_date(F.col(changed))), F.lit(-1)).cast("int").alias("day"),
         F.col(price).cast("double").alias("price"), F.regexp_replace(F.col(pack_text), "[^0-9]", "").alias("digits"), F.col(pack_text).alias("__text"),
-    )
+    ).distinct()
     rows = rows.withColumn("c", F.pandas_udf(contents_batch, "base string, amount double")("__text")).select("*", "c.base", "c.amount").drop("c", "__text")
     rows = cut_lineage(rows)
     priced = rows.where("price > 0 and amount > 0 and product is not null").withColumn("lp", F.log("price"))
@@ -187,8 +188,9 @@ def common_units(df: DataFrame, key: str, product: str, pack_text: str, price: s
     # a day of a source without any row in the reference keeps the scale of the day before it
     second = on_scale(_with_scale(priced, scales)).groupBy("product").agg(F.percentile_approx("lpp", 0.5, 1000).alias("ref"))
     scales = cut_lineage(price_scales(priced, second, penalty))
-    final = on_scale(_with_scale(priced, scales)).select("key", F.exp("lpp").alias("pack_price"), "scale")
-    return rows.join(final, "key", "left")
+    known = (F.col("price") > 0) & (F.col("amount") > 0) & F.col("product").isNotNull()
+    final = on_scale(_with_scale(rows.withColumn("lp", F.when(known, F.log("price"))), scales))
+    return final.withColumn("pack_price", F.exp("lpp")).withColumn("scale", F.when(F.col("lp").isNotNull(), F.col("scale"))).drop("lp", "lpp")
 
 
 def _with_scale(priced: DataFrame, scales: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from millrace.dbf import layout as L
 from millrace.dbf.decode import decode_column
 from millrace.dbf.memo import Memo
+from millrace.session import shared_dir
 
 DELETED, END = 0x2A, 0x1A
 _RECORD_INDEX = T.StructField("_record_index", T.LongType(), False)
@@ -144,6 +146,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DbfSource)
 
 
+def read_dbf_bytes(spark: SparkSession, table: bytes, memo: bytes | None = None, **options):
+    """A table held in memory, with its memo file: written to the shared folder and read from there."""
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    stem = os.path.join(folder, f"bytes-{uuid.uuid4().hex[:12]}")
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{stem}.dbf", "wb") as f:
+        f.write(table)
+    if memo is not None:
+        with open(f"{stem}.fpt", "wb") as f:
+            f.write(memo)
+    return read_dbf(spark, f"{stem}.dbf", **options)
+
+
 def read_dbf(spark: SparkSession, path: str, metadata: bool = False, **options):
     """The table with its own column names (repeated ones too), and its record numbers and flags where asked for."""
     register(spark)

@@ -279,7 +279,8 @@ def select_over(inner: DataFrame, order_names: Sequence[str], low: Lowering, sta
         inner = inner.orderBy(*keys) if keys else inner
     if statement.limit is not None:
         inner = inner.limit(statement.limit)
-    return inner.select(*(F.col(f"c{i.column.ordinal}") for i in items)).toDF(*(i.output for i in items))
+    # names may repeat, so each output column carries the table's column it comes from
+    return inner.select(*(F.col(f"c{i.column.ordinal}").alias(i.output, metadata={"base_column": low.names[i.column.ordinal]}) for i in items))
 
 
 def _by_ordinal(df: DataFrame, hidden: list[Column]) -> DataFrame:

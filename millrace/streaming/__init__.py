@@ -1 +1 @@
-
+"""Tables are finite files: there is no stream, window or state to express, and this package stays empty on purpose."""

@@ -149,3 +149,25 @@ def test_settings():
     for bad in ("Colour=red", "UseIndexes=maybe", "StringTrimming=both"):
         with pytest.raises(ValueError):
             Settings.parse(bad)
+
+
+def test_in_memory_and_start_offset(spark, tmp_path):
+    from millrace.sources.dbf import read_dbf_bytes
+
+    path = tmp_path / "b.dbf"
+    write_dbf(str(path), (("ID", "N", 6, 0), ("NOTE", "M", 4, 0)), [(1, "long text"), (2, None)], version=0x30)
+    data, memo = path.read_bytes(), (tmp_path / "b.fpt").read_bytes()
+    assert [tuple(r) for r in read_dbf_bytes(spark, data, memo).collect()] == [(1, "long text"), (2, "")]
+    assert [tuple(r) for r in read_dbf_bytes(spark, data).collect()] == [(1, None), (2, None)]
+    (tmp_path / "shifted.dbf").write_bytes(b"preamble" + data)
+    assert read_dbf(spark, str(tmp_path / "shifted.dbf"), startOffset=8, columns="0").count() == 2
+
+
+def test_display_and_base_columns(spark, indexed):
+    from millrace.functions.display import displayed
+
+    c = connect(spark, f"Folder={indexed}")
+    df = c.sql("select top 1 ID as key, DAY from t where ID = 5")
+    assert [f.metadata["base_column"] for f in df.schema.fields] == ["ID", "DAY"]
+    shown = displayed(spark.createDataFrame([(True, Decimal("1.5"), dt.date(2020, 1, 2), None)], "a boolean, b decimal(9,2), c date, d string")).first()
+    assert tuple(shown) == ("T", "1.50", "2020-01-02", None)

@@ -71,3 +71,11 @@ def test_scales_and_matches_against_brute_force(spark):
 def test_empty(spark):
     u = U.common_units(spark.createDataFrame([], SCHEMA), "rec_no", "productid", "quantitype", "unitprice", "source_sys", "updated_at")
     assert U.unit_matches(u).count() == 0 and u.agg(F.count("*")).first()[0] == 0
+
+
+def test_repeated_rows_count_once(spark):
+    rows = history()
+    df = spark.createDataFrame(rows, SCHEMA)
+    args = ("rec_no", "productid", "quantitype", "unitprice", "source_sys", "updated_at")
+    once, twice = (U.unit_matches(U.common_units(x, *args)) for x in (df, df.union(df)))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
