@@ -10,8 +10,8 @@ town). Their street words are then put together by the cheapest assignment; type
 Work is between variants, so that any number of equal records costs one comparison; only the final expansion gives a row
 for each pair of records, which is the form the result has.
 
-Defined cases: a null or blank address, one without a number or box, or without any town, matches nothing; repeated rows
-are records of their own and match each other; an empty table gives an empty result; only the named columns are read; a
+Defined cases: a null or blank address, one without a number or box, or without any town, matches nothing; rows loaded
+twice under numbers of their own are records and match each other, a row repeated with its number counts once; an empty table gives an empty result; only the named columns are read; a
 text of any length is read whole.
 """
 
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from millrace.llm.encodings import PAIRS, restore
 from millrace.session import cut_lineage, table
 
+#: Letters beyond which a word is taken as it stands: no spelling of it less one letter is indexed.
+LONGEST = 60
+
 # Street types and their abbreviations, directions, words of units and landmarks.
 TYPES = {
     "street": "st", "str": "st", "st": "st", "avenue": "av", "ave": "av", "av": "av", "road": "rd", "rd": "rd", "drive": "dr", "dr": "dr", "lane": "ln", "ln": "ln",
@@ -248,6 +251,8 @@ def deletions(street: str) -> set[str]:
     if s == "box" or s.isdigit():
         return {s}
     full = street.replace(" ", "")
+    if len(full) > LONGEST:
+        return {s}
     return {s, f"{s[:4]}*", f"*{s[-4:]}"} | {full[:i] + full[i + 1 :] for i in range(len(full))}
 
 
@@ -311,12 +316,14 @@ def usual_spellings(df: DataFrame, group: list[str], word: str, times: int, most
 
 def _city_keys(city: str) -> set[str]:
     c = city.replace(" ", "")
+    if len(c) > LONGEST:
+        return {c}
     return {c.replace("?", "")} | {c} | {c[:i] + c[i + 1 :] for i in range(len(c))}
 
 
 def same_places(clients: DataFrame) -> DataFrame:
     """rec_no_a, rec_no_b of every two records at one location."""
-    read = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "address", "city", "state", "zip").where("rec_no is not null and trim(address) <> ''")
+    read = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "address", "city", "state", "zip").where("rec_no is not null and trim(address) <> ''").distinct()
     placed = towns(read.mapInPandas(_parse, _PARSED)).where("town is not null")
     # a rare spelling of a street takes the usual one of all towns, one edit away and far more frequent
     words = usual_spellings(placed.where("length(street) >= 5 and street rlike '[a-z]'").select("street"), [], "street", 10, 1)

@@ -13,8 +13,8 @@ full form that explains them.
 No group is ever expanded into its pairs before the end: attribution works on distinct spellings, and the final expansion
 into pairs of records, the form the result has, is a join on the entity.
 
-Defined cases: a null or blank client names no organisation; a person needs a last name and its organisation; repeated rows
-are records of their own; an empty table gives an empty result; only the named columns are read; long values are read whole.
+Defined cases: a null or blank client names no organisation; a person needs a last name and its organisation; rows loaded
+twice under numbers of their own are records, a row repeated with its number counts once; an empty table gives an empty result; only the named columns are read; long values are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.addresses import distance, folded
+from millrace.llm.addresses import LONGEST, distance, folded
 from millrace.session import cut_lineage, table
 
 # Legal forms, titles, suffixes, nicknames.
@@ -56,6 +56,8 @@ TYPO, ABBREVIATED, MISSING, UNTOLD, UNLIKE = -4.0, -0.7, -2.3, -0.5, -30.0
 
 def _keys(word: str) -> list[str]:
     """Deletion keys of a name, of each family apart where there are two."""
+    if len(word) > LONGEST:
+        return [word]
     w = word.replace("?", "")
     return sorted({w, word} | {word[:i] + word[i + 1 :] for i in range(len(word))})
 
@@ -353,7 +355,7 @@ def _pairs(df: DataFrame, entity: str, kind: str) -> DataFrame:
 
 def same_names(clients: DataFrame) -> DataFrame:
     """kind, rec_no_a, rec_no_b of every two records of one organisation or one person."""
-    cols = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "client", "lastname", "firstname", "zip", "address").where("rec_no is not null and client is not null")
+    cols = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "client", "lastname", "firstname", "zip", "address").where("rec_no is not null and client is not null").distinct()
     read = cut_lineage(cols.mapInPandas(_read, _PARTS))
     orgs = cut_lineage(organisations(read))
     return _pairs(orgs, "org", "org").unionByName(_pairs(people(orgs), "who", "person"))

@@ -212,12 +212,43 @@ def tag_texts(p: dict[str, np.ndarray], texts: Sequence[str], most_chars: int =
     return out
 
 
+#: Characters scored at once; longer texts are cut at a line's end, else at a blank, and scored with a window's margin.
+SEGMENT = 1_000_000
+
+
+def _segments(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while len(text) - at > SEGMENT:
+        cut = text.rfind("\n", at + SEGMENT // 2, at + SEGMENT) + 1 or text.rfind(" ", at + SEGMENT // 2, at + SEGMENT) + 1 or at + SEGMENT
+        out.append((at, cut))
+        at = cut
+    return [*out, (at, len(text))]
+
+
 def _tag_block(p: dict[str, np.ndarray], texts: Sequence[str], block: list[int], out: list[list[tuple[int, int, str]]]) -> None:
     joined = "\n".join(texts[i] for i in block)
     if not joined:
         return
-    x = codes(joined)
-    e = _score(p, x)
+    paths = np.concatenate([_paths(p, joined, a, b) for a, b in _segments(joined)])
+    offsets = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in block])])
+    on = np.flatnonzero(paths)
+    if not len(on):
+        return
+    begin = (paths[on] % 2 == 1) | (np.concatenate([[-2], on[:-1]]) + 1 != on) | (np.concatenate([[0], (paths[on[:-1]] + 1) // 2]) != (paths[on] + 1) // 2)
+    firsts = np.flatnonzero(begin)
+    lasts = np.concatenate([firsts[1:], [len(on)]]) - 1
+    owner = np.searchsorted(offsets, on[firsts], "right") - 1
+    for a, b, w in zip(on[firsts], on[lasts], owner):
+        base = offsets[w]
+        out[block[w]].append((int(a - base), int(b - base) + 1, KINDS[(int(paths[a]) - 1) // 2]))
+
+
+def _paths(p: dict[str, np.ndarray], joined: str, begin: int, end: int) -> np.ndarray:
+    """Tags of joined[begin:end], scored with a window of text on either side."""
+    low = max(0, begin - WINDOW)
+    x = codes(joined[low : end + WINDOW])
+    e = _score(p, x)[begin - low : end - low]
+    x = x[begin - low : end - low]
     breaks = np.flatnonzero(x == LINE)
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(x)]])
     # a line on which no tag comes near "outside" can't hold anything; the margin covers what transitions can add
@@ -244,14 +275,4 @@ def _tag_block(p: dict[str, np.ndarray], texts: Sequence[str], block: list[int],
         scores[~inside, 0] = 0.0
         tags = viterbi(scores, t)
         paths[pos[inside]] = tags[inside]
-    offsets = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in block])])
-    on = np.flatnonzero(paths)
-    if not len(on):
-        return
-    begin = (paths[on] % 2 == 1) | (np.concatenate([[-2], on[:-1]]) + 1 != on) | (np.concatenate([[0], (paths[on[:-1]] + 1) // 2]) != (paths[on] + 1) // 2)
-    firsts = np.flatnonzero(begin)
-    lasts = np.concatenate([firsts[1:], [len(on)]]) - 1
-    owner = np.searchsorted(offsets, on[firsts], "right") - 1
-    for a, b, w in zip(on[firsts], on[lasts], owner):
-        base = offsets[w]
-        out[block[w]].append((int(a - base), int(b - base) + 1, KINDS[(int(paths[a]) - 1) // 2]))
+    return paths

@@ -7,7 +7,8 @@ trigram, bigram and word alike, the text was cut; a fragment of a word is judged
 as ends (a fixed limit piles cuts up there), nor is the judged text itself.
 
 Defined cases: null and blank values are never cut; repeated rows count and are judged each; an empty table gives an empty
-result; only the named columns are read, so extra columns never clash; a text without words or signs can't occur.
+result; only the named columns are read, so extra columns never clash; the beginnings of a word of more than 60 letters aren't
+counted; a text without words or signs can't occur.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ _SPARK = {
     "mask": r"""regexp_replace(regexp_replace(lower(txt), '[0-9]', '9'), r'9[a-d]\b', '9')""",
     "words": f'concat(array("^", "^"), regexp_extract_all(t, r"{WORDS.replace("{L}", "{{L}}")}", 0))',
     "positions": "explode(sequence(3, size(w)))", "size": "size(w)", "at_i2": "w[i - 3]", "at_i1": "w[i - 2]", "at_i": "w[i - 1]",
-    "prefixes": "explode(CASE WHEN c LIKE '9%' THEN array(length(c)) ELSE sequence(1, length(c)) END)",
+    "prefixes": "explode(CASE WHEN c LIKE '9%' OR length(c) > 60 THEN array(length(c)) ELSE sequence(1, length(c)) END)",
     "last3": "w[size(w) - 3]", "last2": "w[size(w) - 2]", "last1": "w[size(w) - 1]",
 }
 _DUCK = {
     "mask": r"""regexp_replace(regexp_replace(lower(txt), '[0-9]', '9', 'g'), '9[a-d]\b', '9', 'g')""",
     "words": f"list_concat(['^', '^'], regexp_extract_all(t, '{WORDS.replace(chr(39), chr(39) * 2)}'))",
     "positions": "unnest(range(3, len(w) + 1))", "size": "len(w)", "at_i2": "w[i - 2]", "at_i1": "w[i - 1]", "at_i": "w[i]",
-    "prefixes": "unnest(CASE WHEN c LIKE '9%' THEN [length(c)] ELSE range(1, length(c) + 1) END)",
+    "prefixes": "unnest(CASE WHEN c LIKE '9%' OR length(c) > 60 THEN [length(c)] ELSE range(1, length(c) + 1) END)",
     "last3": "w[-3]", "last2": "w[-2]", "last1": "w[-1]",
 }
 

@@ -39,3 +39,9 @@ def test_pairs(spark):
     twice = A.same_places(df.where("rec_no = 1").union(df.where("rec_no = 1").selectExpr("rec_no + 500", "address", "city", "state", "zip", "town", "key")).union(df.where("rec_no >= 1000")))
     assert (1, 501) in [tuple(r) for r in twice.collect()]
     assert A.same_places(df.limit(0)).count() == 0
+
+
+def test_very_long_and_repeated_rows(spark):
+    rows = [(1, "5 " + "q" * 20000 + " Street", "Ruldumont", "FL", "33832"), (2, "5 " + "q" * 20000 + " St.", "Ruldumont", "FL", "33832"), (2, "5 " + "q" * 20000 + " St.", "Ruldumont", "FL", "33832")]
+    df = spark.createDataFrame(rows, "rec_no bigint, address string, city string, state string, zip string")
+    assert [tuple(r) for r in A.same_places(df).collect()] == [(1, 2)]

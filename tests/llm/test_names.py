@@ -42,3 +42,10 @@ def test_pairs(spark):
     persons = {(a, b) for k, a, b in got if k == "person"}
     assert persons == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (10, 11)}
     assert N.same_names(df.limit(0)).count() == 0
+
+
+def test_very_long_and_repeated_rows(spark):
+    name = "q" * 20000 + " Bakery"
+    rows = [(1, name, "w" * 20000, "Anna", "1", "1 x"), (2, name.upper(), "W" * 20000, "A.", "1", "1 x"), (2, name.upper(), "W" * 20000, "A.", "1", "1 x")]
+    df = spark.createDataFrame(rows, "rec_no bigint, client string, lastname string, firstname string, zip string, address string")
+    assert sorted(map(tuple, N.same_names(df).collect())) == [("org", 1, 2), ("person", 1, 2)]

@@ -61,3 +61,11 @@ def test_found_and_redacted(spark):
     red = {r["doc_id"]: r["text"] for r in P.redacted(docs).collect()}
     assert "[PERSON_NAME] <[EMAIL]>" in red[1] and "call [PHONE] before" in red[1] and "git@forge.example:tools/key.git" in red[1]
     assert P.found_texts(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_at_lines(monkeypatch):
+    line = "    ping mimbigis_torben@example.org, not the list\n    call 703 555 0187 before deploying\n"
+    whole = T.tag_texts(T.load(), [line * 60])
+    monkeypatch.setattr(T, "SEGMENT", 700)
+    assert T.tag_texts(T.load(), [line * 60]) == whole and len(whole[0]) >= 120
+    assert T.tag_texts(T.load(), ["x" * 5000, "", "\n"])[1:] == [[], []]

@@ -52,3 +52,8 @@ def test_repeated_rows_and_empty_table(spark, found):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 20000, "s"), (2, "word", "s")], "rec_no bigint, comments string, source_sys string")
     T.truncated(spark, {"t": df}, (T.Field("t", "comments"),)).collect()
+
+
+def test_very_long_word(spark):
+    df = spark.createDataFrame([(1, "w" * 200_000, "s"), (2, "w" * 199_999 + " end", "s")], "rec_no bigint, comments string, source_sys string")
+    assert T.truncated(spark, {"t": df}, (T.Field("t", "comments"),)).count() == 0
