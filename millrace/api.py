@@ -96,7 +96,7 @@ class Connection:
             return lowering.select(s.frame, s.order, statement, parameters)
         schema = L.spark_schema(s.layout, self.settings.floats_as_decimals)
         low = lowering.Lowering(schema, parameters)
-        plan = access.plan(s.path, s.layout, low, statement, self.settings.use_indexes if use_indexes is None else use_indexes)
+        plan = access.plan(s.path, s.layout, low, statement, self.settings.use_indexes if use_indexes is None else use_indexes, self.settings.skip_deleted if skip_deleted is None else skip_deleted)
         used = _columns(statement, low)
         df = self._read(s, skip_deleted, columns=",".join(map(str, used)), recordIds=plan.runs)
         return _pruned_select(df, low, used, statement)
@@ -112,7 +112,7 @@ class Connection:
         if statement.where is None and not statement.order and statement.items is None and not statement.count and statement.limit is None:
             return "full scan (select all)"
         low = lowering.Lowering(L.spark_schema(s.layout, self.settings.floats_as_decimals), parameters)
-        plan = access.plan(s.path, s.layout, low, statement, self.settings.use_indexes)
+        plan = access.plan(s.path, s.layout, low, statement, self.settings.use_indexes, self.settings.skip_deleted)
         if statement.count:
             if plan.record_ids is None:
                 return plan.text

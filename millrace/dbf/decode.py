@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from millrace.dbf.layout import Field, Layout
 
@@ -63,10 +64,45 @@ def _binary(block: np.ndarray, f: Field, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(block[:, f.start : f.start + width]).view(dtype).ravel()
 
 
+_ASCII_LIKE = ("ascii", "utf-8", "cp437", "cp737", "cp850", "cp852", "cp857", "cp860", "cp861", "cp863", "cp865", "cp866", "cp874", "mac_roman")
+_TRIMS = {"none": None, "trim": pc.utf8_trim, "trimstart": pc.utf8_ltrim, "trimend": pc.utf8_rtrim}
+
+
+def _plain_text(cells: np.ndarray) -> pa.Array | None:
+    """Cells of ASCII alone as texts without trailing NULs, null where the first byte is NUL; None where there are others."""
+    if cells.size == 0 or cells.max() > 127:
+        return None
+    text = pa.array(cells.view(f"S{cells.shape[1]}").ravel(), pa.binary()).cast(pa.string())
+    empty = cells[:, 0] == 0
+    return pc.if_else(pa.array(empty), pa.scalar(None, pa.string()), text) if empty.any() else text
+
+
+def _plain_numbers(cells: np.ndarray, form: str, kind: pa.DataType) -> pa.Array | None:
+    """Numbers where every cell is blank or of the plain form; None where one isn't, for the cell by cell way."""
+    text = _plain_text(cells)
+    if text is None:
+        return None
+    text = pc.utf8_trim(text, " ")
+    text = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+    fits = pc.match_substring_regex(text, form)
+    if not pc.all(fits, min_count=0).as_py():
+        return None
+    try:
+        return text.cast(kind)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+
+
 def decode_column(block: np.ndarray, f: Field, layout: Layout, trimming: str, floats_as_decimals: bool, first: int, memo=None) -> pa.Array:
     """The values of one field over ``block`` (records x bytes); ``first`` numbers its first record."""
     kind = f.type
     if kind in "CGW":
+        name = codecs.lookup(layout.encoding).name.replace("-roman", "_roman")
+        if kind != "W" and (name in _ASCII_LIKE or name.startswith("cp125")):
+            text = _plain_text(np.ascontiguousarray(block[:, f.start : f.start + f.length]))
+            if text is not None:
+                cut = _TRIMS[trimming.lower()]
+                return text if cut is None else cut(text, " ")
         decode = text_decoder("utf-16-le" if kind == "W" else layout.encoding)
         trim = _trimmer(trimming)
         out: list = []
@@ -83,6 +119,9 @@ def decode_column(block: np.ndarray, f: Field, layout: Layout, trimming: str, fl
             out.append(v)
         return pa.array(out, pa.string())
     if kind == "N" and f.decimals == 0:
+        fast = _plain_numbers(np.ascontiguousarray(block[:, f.start : f.start + f.length]), r"^-?[0-9]{1,18}$", pa.int32() if f.length < 10 else pa.int64())
+        if fast is not None:
+            return fast
         top = (1 << 31) if f.length < 10 else (1 << 63)
         out = []
         for cell in _cells(block, f):
@@ -92,6 +131,10 @@ def decode_column(block: np.ndarray, f: Field, layout: Layout, trimming: str, fl
         return pa.array(out, pa.int32() if f.length < 10 else pa.int64())
     if kind == "N" or kind == "F" and floats_as_decimals:
         p, s = min(max(f.length, f.decimals, 1), 38), min(f.decimals, 38)
+        if p <= 28 and s:
+            fast = _plain_numbers(np.ascontiguousarray(block[:, f.start : f.start + f.length]), rf"^-?[0-9]{{1,{p - s}}}(\.[0-9]{{1,{s}}})?$", pa.decimal128(p, s))
+            if fast is not None:
+                return fast
         out = []
         with decimal.localcontext() as context:
             context.prec = 60
@@ -123,8 +166,15 @@ def decode_column(block: np.ndarray, f: Field, layout: Layout, trimming: str, fl
         return pa.array(_binary(block, f, "<f8"))
     if kind == "Y":
         cents = _binary(block, f, "<i8")
-        return pa.array([decimal.Decimal(int(c)).scaleb(-4) for c in cents], pa.decimal128(19, 4))
+        wide = np.stack([cents, cents >> 63], axis=1)  # 128 bits, the low half first
+        return pa.Array.from_buffers(pa.decimal128(19, 4), len(cents), [None, pa.py_buffer(np.ascontiguousarray(wide))])
     if kind == "D":
+        text = _plain_text(np.ascontiguousarray(block[:, f.start : f.start + f.length]))
+        if text is not None and f.length == 8:
+            blank = pc.equal(pc.utf8_trim(text, " "), "")
+            days = pc.if_else(blank, pa.scalar(None, pa.string()), text)
+            if pc.all(pc.match_substring_regex(days, "^(?:[1-9][0-9]{3}|0[1-9][0-9]{2}|00[1-9][0-9]|000[1-9])(0[1-9]|1[0-2])(0[1-9]|1[0-9]|2[0-8])$"), min_count=0).as_py():
+                return pc.strptime(days, format="%Y%m%d", unit="s").cast(pa.date32())
         out = []
         for cell in _cells(block, f):
             t = cell.split(b"\0", 1)[0].strip(_BLANK)

@@ -3,7 +3,8 @@
 Options: ``encoding``, ``stringTrimming`` (none, trim, trimStart, trimEnd), ``readFloatsAsDecimals``, ``skipDeleted``,
 ``columns`` (ordinals to decode, comma-separated; empty: none), ``metadata`` (adds ``_record_index`` and ``_deleted``),
 ``startOffset``, ``startRecord``, ``recordCount``, ``recordIds`` (runs ``a-b`` of an index search), ``memo``,
-``partitionBytes``. The file must be visible to all executors. Records end at the file's end, at a partial record, or at a
+``partitionBytes``, ``findEnd`` (false: no look at all status bytes while planning, for
+files known to end where they are full). The file must be visible to all executors. Records end at the file's end, at a partial record, or at a
 record whose status byte is 0x1A; the header's count never bounds a scan.
 """
 
@@ -101,10 +102,11 @@ class DbfReader(DataSourceReader):
             raise ValueError("startRecord is negative")
         self.ids = get("recordIds")
         self.bytes = int(get("partitionBytes", 16 << 20))
+        self.find_end = _flag({"findEnd": get("findEnd", True)}, "findEnd", True)
         self.memo = get("memo") or L.memo_path(self.path)
 
     def partitions(self) -> list[Range]:
-        end = end_of_records(self.path, self.table)
+        end = end_of_records(self.path, self.table) if self.find_end else self.table.count(os.path.getsize(self.path))
         if self.most is not None:
             end = min(end, self.start + int(self.most))
         size = max(1, self.bytes // max(self.table.record_length, 1))

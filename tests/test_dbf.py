@@ -171,3 +171,18 @@ def test_display_and_base_columns(spark, indexed):
     assert [f.metadata["base_column"] for f in df.schema.fields] == ["ID", "DAY"]
     shown = displayed(spark.createDataFrame([(True, Decimal("1.5"), dt.date(2020, 1, 2), None)], "a boolean, b decimal(9,2), c date, d string")).first()
     assert tuple(shown) == ("T", "1.50", "2020-01-02", None)
+
+
+@pytest.mark.parametrize("settings", ["", "SkipDeletedRecords=false;"])
+@pytest.mark.parametrize("text", ["select top 7 ID, NAME from t order by ID desc", "select top 7 ID, NAME from t order by ID", "select top 2000 ID from t order by ID", "select top 0 ID from t order by ID"])
+def test_index_order_reads_only_what_it_needs(spark, indexed, settings, text):
+    from millrace.plans import access
+    from millrace.sql import lowering, syntax
+
+    with_index, scan = connect(spark, f"{settings}Folder={indexed}"), connect(spark, f"{settings}Folder={indexed};UseIndexes=false")
+    assert with_index.sql(text).collect() == scan.sql(text).collect()
+    s = with_index.source("t")
+    from millrace.dbf.layout import spark_schema
+
+    ids = access.plan(s.path, s.layout, lowering.Lowering(spark_schema(s.layout)), syntax.parse(text), True, not settings).record_ids
+    assert len(ids) <= max(7, 2000 * ("2000" in text))
