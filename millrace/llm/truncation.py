@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import table
+from millrace.session import broadcast_if_small, cut_lineage, table
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ WORDS = r"\p{L}[\p{L}'']*|9+([.,]9+)*|[^\s\p{L}9]"
 _BODY = r"""
 masked AS (
   SELECT table_name, record, source, txt, len, {mask} AS t FROM filled),
-filled_limits AS (SELECT table_name AS tn, source AS src, max(len) AS longest FROM filled GROUP BY table_name, source),
+filled_limits AS ({limits}),
 texts AS (
   SELECT m.table_name, m.t, count(*) AS n, sum(CASE WHEN m.len >= l.longest - 1 THEN 0 ELSE 1 END) AS free
   FROM masked m JOIN filled_limits l ON m.table_name = l.tn AND m.source = l.src GROUP BY m.table_name, m.t),
@@ -79,7 +79,9 @@ level3 AS (SELECT *, (x3 + {weight} * r2) / (g3 + x3 + {weight}) AS r3 FROM leve
 cut AS (SELECT table_name, t FROM level3 WHERE r1 < rate AND (fragment = 1 OR r2 < context_rate AND r3 < context_rate))
 """
 
+_LIMITS = "SELECT table_name AS tn, source AS src, max(len) AS longest FROM filled GROUP BY table_name, source"
 _SPARK = {
+    "limits": "SELECT * FROM {limits}",  # counted first, so that the texts needn't be shuffled by source
     "mask": r"""regexp_replace(regexp_replace(lower(txt), '[0-9]', '9'), r'9[a-d]\b', '9')""",
     "words": f'concat(array("^", "^"), regexp_extract_all(t, r"{WORDS.replace("{L}", "{{L}}")}", 0))',
     "positions": "explode(sequence(3, size(w)))", "size": "size(w)", "at_i2": "w[i - 3]", "at_i1": "w[i - 2]", "at_i": "w[i - 1]",
@@ -87,6 +89,7 @@ _SPARK = {
     "last3": "w[size(w) - 3]", "last2": "w[size(w) - 2]", "last1": "w[size(w) - 1]",
 }
 _DUCK = {
+    "limits": _LIMITS,
     "mask": r"""regexp_replace(regexp_replace(lower(txt), '[0-9]', '9', 'g'), '9[a-d]\b', '9', 'g')""",
     "words": f"list_concat(['^', '^'], regexp_extract_all(t, '{WORDS.replace(chr(39), chr(39) * 2)}'))",
     "positions": "unnest(range(3, len(w) + 1))", "size": "len(w)", "at_i2": "w[i - 2]", "at_i1": "w[i - 1]", "at_i": "w[i]",
@@ -102,7 +105,8 @@ def _sql(fields: Sequence[Field], dialect: dict[str, str], named, select: str) -
         f"SELECT '{f.table}' AS table_name, {f.record} AS record, coalesce({f.source}, '') AS source, trim({f.column}) AS txt, length(trim({f.column})) AS len FROM {named(f)} WHERE trim({f.column}) <> ''"
         for f in fields
     )
-    return f"WITH filled AS (\n  {union}),{_BODY.format(**dialect, **PARAMETERS)}{select}"
+    body = _BODY.format(**dialect, **PARAMETERS) if select != _LIMITS else " "
+    return f"WITH filled AS (\n  {union}){',' * (select != _LIMITS)}{body}{select}"
 
 
 _CUT = "SELECT m.table_name, m.record AS rec_no FROM masked m JOIN cut c ON m.table_name = c.table_name AND m.t = c.t"
@@ -115,7 +119,9 @@ FIELDS = (Field("client", "address"), Field("dbase_31", "quantitype"), Field("db
 def _run(spark: SparkSession, sources: dict[str, DataFrame], fields: Sequence[Field], select: str) -> DataFrame:
     frames = {f"f{i}": sources[f.table].select(f.record, f.source, f.column) for i, f in enumerate(fields)}
     where = {id(f): "{" + f"f{i}" + "}" for i, f in enumerate(fields)}
-    return spark.sql(_sql(fields, _SPARK, lambda f: where[id(f)], select), **frames)
+    named = lambda f: where[id(f)]
+    limits = cut_lineage(spark.sql(_sql(fields, _SPARK, named, _LIMITS), **frames))
+    return spark.sql(_sql(fields, _SPARK, named, select), **frames, limits=broadcast_if_small(limits))
 
 
 def truncated(spark: SparkSession, sources: dict[str, DataFrame], fields: Sequence[Field] = FIELDS) -> DataFrame:
