@@ -13,7 +13,8 @@ full form that explains them.
 No group is ever expanded into its pairs before the end: attribution works on distinct spellings, and the final expansion
 into pairs of records, the form the result has, is a join on the entity.
 
-Defined cases: a null or blank client names no organisation; a person needs a last name and its organisation; rows loaded
+Defined cases: a null or blank client names no organisation, and its person goes to the organisation in whose postcode a
+like last name stands; a person needs a last name and an organisation; rows loaded
 twice under numbers of their own are records, a row repeated with its number counts once; an empty table gives an empty result; only the named columns are read; long values are read whole.
 """
 
@@ -334,6 +335,22 @@ def people(orgs: DataFrame) -> DataFrame:
     return typed.join(solved, ["org", "last", "first", "middle"]).select("rec_no", "who")
 
 
+def placed_orgs(read: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Records that name no firm but a person: they go to the firm in whose postcode a like last name stands, first where
+    the house number is the same too, then where it stands most often. Columns as :func:`organisations`."""
+    zip5 = F.substring_index("place", "/", 1)
+    keys = F.pandas_udf(lambda s: s.map(_keys), "array<string>")
+    near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
+    alone = read.where("(family is null or family = '') and last is not null and length(last) > 1").withColumn("zip5", zip5).where("zip5 <> ''")
+    known = orgs.where("last is not null and length(last) > 1").groupBy("org", "place", "last").agg(F.count("*").alias("n")).withColumn("zip5", zip5).where("zip5 <> ''")
+    asked = alone.select("zip5", "place", "last").distinct().withColumn("key", F.explode(keys("last")))
+    there = known.select("zip5", F.col("place").alias("there"), F.col("last").alias("like"), "org", "n").withColumn("key", F.explode(keys("like")))
+    met = asked.join(there, ["zip5", "key"]).drop("key").distinct().withColumn("d", near("last", "like")).where(F.col("d") <= F.when(F.length("like") <= 5, 1).otherwise(2))
+    same = (F.col("place") == F.col("there")) & ~F.endswith("place", F.lit("/"))
+    best = met.groupBy("place", "last").agg(F.max(F.struct(same.cast("int").alias("same"), -F.col("d"), F.col("n"), F.col("org"))).alias("m")).select("place", "last", F.col("m.org").alias("org"))
+    return alone.join(best, ["place", "last"]).select("rec_no", "org", "place", "last", "first", "middle")
+
+
 def _usual_in_org(forms: DataFrame) -> DataFrame:
     """org, last, usual: the most frequent like spelling of a last name inside its organisation."""
     spelled = forms.groupBy("org", "last").agg(F.sum("n").alias("n"))
@@ -355,10 +372,10 @@ def _pairs(df: DataFrame, entity: str, kind: str) -> DataFrame:
 
 def same_names(clients: DataFrame) -> DataFrame:
     """kind, rec_no_a, rec_no_b of every two records of one organisation or one person."""
-    cols = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "client", "lastname", "firstname", "zip", "address").where("rec_no is not null and client is not null").distinct()
+    cols = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "client", "lastname", "firstname", "zip", "address").where("rec_no is not null and (client is not null or lastname is not null)").distinct()
     read = cut_lineage(cols.mapInPandas(_read, _PARTS))
     orgs = cut_lineage(organisations(read))
-    return _pairs(orgs, "org", "org").unionByName(_pairs(people(orgs), "who", "person"))
+    return _pairs(orgs, "org", "org").unionByName(_pairs(people(orgs.unionByName(placed_orgs(read, orgs))), "who", "person"))
 
 
 QUERIES = {"p4_found": lambda spark, d: same_names(table(spark, d, "client"))}
