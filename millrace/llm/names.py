@@ -315,7 +315,7 @@ def people(orgs: DataFrame) -> DataFrame:
     """rec_no and ``who``, the canonical person of an organisation. Distinct forms are attributed inside blocks of one
     organisation and last names of like spelling, so a block is as large as the spellings of one name, not as its records."""
     typed = orgs.where("last is not null and last <> ''")
-    forms = typed.groupBy("org", "last", "first", "middle").agg(F.count("*").alias("n"))
+    forms = cut_lineage(typed.groupBy("org", "last", "first", "middle").agg(F.count("*").alias("n")))
     usual = _usual_in_org(forms)
     forms = forms.join(usual, ["org", "last"], "left").withColumn("block", F.coalesce("usual", "last")).drop("usual")
 
@@ -354,12 +354,13 @@ def placed_orgs(read: DataFrame, orgs: DataFrame) -> DataFrame:
 def _usual_in_org(forms: DataFrame) -> DataFrame:
     """org, last, usual: the most frequent like spelling of a last name inside its organisation."""
     spelled = forms.groupBy("org", "last").agg(F.sum("n").alias("n"))
-    by_key = spelled.withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(_keys), "array<string>")("last")))
+    by_key = cut_lineage(spelled.withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(_keys), "array<string>")("last"))))
     near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
     left, right = by_key.select("org", "key", "last", "n"), by_key.select("org", "key", F.col("last").alias("usual"), F.col("n").alias("n2"))
     better = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("usual") < F.col("last"))
     scored = left.join(right, ["org", "key"]).where(better).select("org", "last", "usual", "n2").distinct().withColumn("d", near("last", "usual"))
     best = scored.where(F.col("d") <= F.when(F.length("last") <= 5, 1).otherwise(2)).groupBy("org", "last").agg(F.max(F.struct(F.log("n2") + F.lit(TYPO) * F.col("d"), F.col("usual"))).alias("m")).select("org", "last", F.col("m.usual").alias("usual"))
+    best = cut_lineage(best)
     # one more step: the usual form of the usual form
     two = best.select("org", F.col("last").alias("usual"), F.col("usual").alias("usual2"))
     return best.join(two, ["org", "usual"], "left").select("org", "last", F.coalesce("usual2", "usual").alias("usual"))
@@ -375,7 +376,7 @@ def same_names(clients: DataFrame) -> DataFrame:
     cols = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "client", "lastname", "firstname", "zip", "address").where("rec_no is not null and (client is not null or lastname is not null)").distinct()
     read = cut_lineage(cols.mapInPandas(_read, _PARTS))
     orgs = cut_lineage(organisations(read))
-    return _pairs(orgs, "org", "org").unionByName(_pairs(people(orgs.unionByName(placed_orgs(read, orgs))), "who", "person"))
+    return _pairs(orgs, "org", "org").unionByName(_pairs(people(cut_lineage(orgs.unionByName(placed_orgs(read, orgs)))), "who", "person"))
 
 
 QUERIES = {"p4_found": lambda spark, d: same_names(table(spark, d, "client"))}
