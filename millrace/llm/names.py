@@ -63,6 +63,42 @@ def _keys(word: str) -> list[str]:
     return sorted({w, word} | {word[:i] + word[i + 1 :] for i in range(len(word))})
 
 
+def edit_keys(word: str) -> list[str]:
+    """The word and its spellings less one letter, less two from six letters on: words as far apart as :func:`far` allows share
+    one. A lost letter (``?``) stands for each letter in turn; words with more of them meet by length (:func:`alike`)."""
+    if len(word) > LONGEST or word.count("?") > 1:
+        return [word]
+    keys = {word.replace("?", c) for c in "?abcdefghijklmnopqrstuvwxyz"} if "?" in word else {word}
+    last = keys
+    for _ in range(1 if len(word) <= 5 else 2):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        keys = keys | last
+    return sorted(keys)
+
+
+def far(word: str) -> F.Column:
+    """Edits up to which a spelling may be the word."""
+    return F.when(F.length(word) <= 5, 1).otherwise(2)
+
+
+def alike(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, where: F.Column | None = None) -> DataFrame:
+    """Distinct rows of ``left`` and ``right`` equal in ``on`` whose words ``a`` and ``b`` are at most two edits apart (none is
+    left out that :func:`far` accepts), with their distance ``d``."""
+    keys = F.pandas_udf(lambda s: s.map(edit_keys), "array<string>")
+    near = F.pandas_udf(lambda x, y: pd.Series([distance(v, w, 2) for v, w in zip(x, y)], dtype="int32"), "int")
+    keyed = lambda df, w: df.withColumn("key", F.explode(F.transform(keys(w), lambda k: F.xxhash64(k))))
+    bare = lambda w: F.replace(w, F.lit("?"), F.lit(""))
+    lost = lambda w: F.length(w) - F.length(bare(w))
+    met = keyed(left, a).join(keyed(right, b), [*on, "key"]).drop("key")
+    # several lost letters: words of like length; a swap is two edits there and a lost letter one
+    sized = left.where(F.length(a) <= LONGEST).withColumn("size", F.length(a))
+    sizes = right.where(F.length(b) <= LONGEST).withColumn("size", F.explode(F.sequence(F.length(b) - 2, F.length(b) + 2)))
+    rest = sized.where(lost(F.col(a)) > 1).join(sizes, [*on, "size"]).unionByName(sized.where(lost(F.col(a)) <= 1).join(sizes.where(lost(F.col(b)) > 1), [*on, "size"])).drop("size")
+    rest = rest.where(F.levenshtein(bare(F.col(a)), bare(F.col(b))) <= 4 + lost(F.col(a)) + lost(F.col(b)))
+    both = met.unionByName(rest.select(met.columns))
+    return (both if where is None else both.where(where)).distinct().withColumn("d", near(a, b)).where("d <= 2")
+
+
 def org_parts(name: str | None) -> tuple[str, str, str] | None:
     """(initials, family names joined by &, trade words) of a firm; legal forms and articles are set aside."""
     if not name or not name.strip():
@@ -257,23 +293,23 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def canonical_words(df: DataFrame, times: int = 2) -> DataFrame:
     """``word``, ``usual``: for each family name the candidate of largest posterior (log frequency plus typo likelihood).
 
-    ``df`` has word and ctx (places and trades it stands at). Candidates share a deletion key, and are more than ``times`` as
+    ``df`` has word and ctx (places and trades it stands at). Candidates are one edit away, two from six letters on, and are more than ``times`` as
     frequent, or at least as frequent where both stand in one context.
     """
     spelled = df.groupBy("word").agg(F.count("*").alias("n"))
-    by_key = cut_lineage(spelled.withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(_keys), "array<string>")("word"))))
-    near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
-    left, right = by_key.select("key", "word", "n"), by_key.select("key", F.col("word").alias("usual"), F.col("n").alias("n2"))
+    spelled = cut_lineage(spelled)
     better = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("usual") < F.col("word"))
-    scored = left.join(right, "key").where(better).select("word", "usual", "n", "n2").distinct().withColumn("d", near("word", "usual"))
-    scored = cut_lineage(scored.where(F.col("d") <= F.when(F.length("usual") <= 5, 1).otherwise(2)))
+    scored = alike(spelled, spelled.select(F.col("word").alias("usual"), F.col("n").alias("n2")), [], "word", "usual", better)
+    scored = cut_lineage(scored.where(F.col("d") <= far("usual")))
     contexts = df.select("word", F.explode("ctx").alias("c")).where("c is not null").distinct()
     shared = (
         scored.select("word", "usual").join(contexts, "word").join(contexts.select(F.col("word").alias("usual"), F.col("c").alias("c2")), "usual").where("c = c2")
         .select("word", "usual").distinct().withColumn("together", F.lit(True))
     )
-    frequent = (F.col("n2") > times * F.col("n")) & ((F.col("d") == 1) | (F.col("n2") > 4 * F.col("n")))
-    scored = scored.join(shared, ["word", "usual"], "left").where(F.col("together") | frequent)
+    # two slips apart from each other tell the same family only where a place agrees: many families are as near as that
+    slip = F.pandas_udf(lambda a, b: pd.Series([not set(_keys(x)).isdisjoint(_keys(y)) for x, y in zip(a, b)], dtype="bool"), "boolean")
+    frequent = (F.col("n2") > times * F.col("n")) & ((F.col("d") <= 1) | (F.col("n2") > 4 * F.col("n")) & F.col("slip"))
+    scored = scored.withColumn("slip", slip("word", "usual")).join(shared, ["word", "usual"], "left").where(F.col("together") | frequent)
     scored = scored.withColumn("posterior", F.log("n2") + F.lit(TYPO) * F.col("d") + F.when(F.col("together"), F.lit(-TYPO)).otherwise(0.0))
     best = cut_lineage(scored.groupBy("word").agg(F.max(F.struct("posterior", "usual")).alias("m")).select("word", F.col("m.usual").alias("usual")))
     for _ in range(2):  # the candidate of the candidate
@@ -339,13 +375,11 @@ def placed_orgs(read: DataFrame, orgs: DataFrame) -> DataFrame:
     """Records that name no firm but a person: they go to the firm in whose postcode a like last name stands, first where
     the house number is the same too, then where it stands most often. Columns as :func:`organisations`."""
     zip5 = F.substring_index("place", "/", 1)
-    keys = F.pandas_udf(lambda s: s.map(_keys), "array<string>")
-    near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
     alone = read.where("(family is null or family = '') and last is not null and length(last) > 1").withColumn("zip5", zip5).where("zip5 <> ''")
     known = orgs.where("last is not null and length(last) > 1").groupBy("org", "place", "last").agg(F.count("*").alias("n")).withColumn("zip5", zip5).where("zip5 <> ''")
-    asked = alone.select("zip5", "place", "last").distinct().withColumn("key", F.explode(keys("last")))
-    there = known.select("zip5", F.col("place").alias("there"), F.col("last").alias("like"), "org", "n").withColumn("key", F.explode(keys("like")))
-    met = asked.join(there, ["zip5", "key"]).drop("key").distinct().withColumn("d", near("last", "like")).where(F.col("d") <= F.when(F.length("like") <= 5, 1).otherwise(2))
+    asked = alone.select("zip5", "place", "last").distinct()
+    there = known.select("zip5", F.col("place").alias("there"), F.col("last").alias("like"), "org", "n")
+    met = alike(asked, there, ["zip5"], "last", "like").where(F.col("d") <= far("like"))
     same = (F.col("place") == F.col("there")) & ~F.endswith("place", F.lit("/"))
     best = met.groupBy("place", "last").agg(F.max(F.struct(same.cast("int").alias("same"), -F.col("d"), F.col("n"), F.col("org"))).alias("m")).select("place", "last", F.col("m.org").alias("org"))
     return alone.join(best, ["place", "last"]).select("rec_no", "org", "place", "last", "first", "middle")
@@ -353,13 +387,10 @@ def placed_orgs(read: DataFrame, orgs: DataFrame) -> DataFrame:
 
 def _usual_in_org(forms: DataFrame) -> DataFrame:
     """org, last, usual: the most frequent like spelling of a last name inside its organisation."""
-    spelled = forms.groupBy("org", "last").agg(F.sum("n").alias("n"))
-    by_key = cut_lineage(spelled.withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(_keys), "array<string>")("last"))))
-    near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
-    left, right = by_key.select("org", "key", "last", "n"), by_key.select("org", "key", F.col("last").alias("usual"), F.col("n").alias("n2"))
+    spelled = cut_lineage(forms.groupBy("org", "last").agg(F.sum("n").alias("n")))
     better = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("usual") < F.col("last"))
-    scored = left.join(right, ["org", "key"]).where(better).select("org", "last", "usual", "n2").distinct().withColumn("d", near("last", "usual"))
-    best = scored.where(F.col("d") <= F.when(F.length("last") <= 5, 1).otherwise(2)).groupBy("org", "last").agg(F.max(F.struct(F.log("n2") + F.lit(TYPO) * F.col("d"), F.col("usual"))).alias("m")).select("org", "last", F.col("m.usual").alias("usual"))
+    scored = alike(spelled, spelled.select("org", F.col("last").alias("usual"), F.col("n").alias("n2")), ["org"], "last", "usual", better)
+    best = scored.where(F.col("d") <= far("last")).groupBy("org", "last").agg(F.max(F.struct(F.log("n2") + F.lit(TYPO) * F.col("d"), F.col("usual"))).alias("m")).select("org", "last", F.col("m.usual").alias("usual"))
     best = cut_lineage(best)
     # one more step: the usual form of the usual form
     two = best.select("org", F.col("last").alias("usual"), F.col("usual").alias("usual2"))

@@ -50,3 +50,18 @@ def test_very_long_and_repeated_rows(spark):
     rows = [(1, name, "w" * 20000, "Anna", "1", "1 x"), (2, name.upper(), "W" * 20000, "A.", "1", "1 x"), (2, name.upper(), "W" * 20000, "A.", "1", "1 x")]
     df = spark.createDataFrame(rows, "rec_no bigint, client string, lastname string, firstname string, zip string, address string")
     assert sorted(map(tuple, N.same_names(df).collect())) == [("org", 1, 2), ("person", 1, 2)]
+
+
+def test_spellings_two_edits_apart_meet(spark):
+    """All mistyped, no spelling one edit from two others; lost letters too."""
+    words = [("crinuabey", "crinaubye"), ("launtamand", "lauxtamnad"), ("gaud?xic", "gaudxuci"), ("gauduxic", "g?udu?ci"), ("abcdef", "bcde"), ("preinubell", "wholly")]
+    df = spark.createDataFrame([(a, b) for a, b in words], "a string, b string")
+    got = {(r.a, r.b): r.d for r in N.alike(df.select("a"), df.select("b"), [], "a", "b").collect()}
+    assert set(words[:5]) <= set(got) and got == {p: N.distance(*p, 2) for p in got}
+    rows = [(1, "The Crrinuabey & Sons", "Weber", "Anna", "11111", "5 Elm St"), (2, "Crinuabye & Sons", "Weber", "Anna", "11111", "5 Elm St")]
+    df = spark.createDataFrame(rows, "rec_no bigint, client string, lastname string, firstname string, zip string, address string")
+    assert sorted(map(tuple, N.same_names(df).collect())) == [("org", 1, 2), ("person", 1, 2)]
+    # without a place in common two slips apart from each other are another family
+    rows = [(i, "Jauneher Supply", None, None, f"{20000 + i}", "1 Elm St") for i in range(8)] + [(9, "Gaunemer Supply", None, None, "30000", "1 Elm St")]
+    df = spark.createDataFrame(rows, "rec_no bigint, client string, lastname string, firstname string, zip string, address string")
+    assert not [r for r in N.same_names(df).collect() if r.rec_no_b == 9]
