@@ -2,10 +2,10 @@
 
 Addresses are split into components (number or box, direction, street words, street type; unit, floor and landmark are
 set aside) and the town is settled from city, state and zip by the spellings most records use. Equal components become one
-variant with its records as members. Variants meet through a deletion-neighbourhood index: each street gives itself and its
-spellings less one letter as keys, and two variants are compared only where they share a key inside the same block of town
-and house number (the number is a hard veto; the block of a postcode and that of its neighbouring locality are the same
-town). Their street words are then put together by the cheapest assignment; types and directions veto where both are given.
+variant with its records as members. Every two variants of one block of town and house number are compared (the number is a
+hard veto, so a block holds no more than the spellings of a town's streets; the block of a postcode and that of its
+neighbouring locality are the same town). Their street words are put together by the cheapest assignment; types and
+directions veto where both are given.
 
 Work is between variants, so that any number of equal records costs one comparison; only the final expansion gives a row
 for each pair of records, which is the form the result has.
@@ -245,17 +245,6 @@ def same_street(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool]) ->
     return assignment(sa.split(), sb.split(), most) <= most
 
 
-def deletions(street: str) -> set[str]:
-    """Index keys: the street and its spellings less one letter, and its beginning for streets cut short."""
-    s = street.replace(" ", "").replace("?", "")
-    if s == "box" or s.isdigit():
-        return {s}
-    full = street.replace(" ", "")
-    if len(full) > LONGEST:
-        return {s}
-    return {s, f"{s[:4]}*", f"*{s[-4:]}"} | {full[:i] + full[i + 1 :] for i in range(len(full))}
-
-
 _PARSED = "rec_no bigint, number string, direction string, street string, kind string, cut boolean, city string, state string, zip string, extra string"
 
 
@@ -318,7 +307,8 @@ def _city_keys(city: str) -> set[str]:
     c = city.replace(" ", "")
     if len(c) > LONGEST:
         return {c}
-    return {c.replace("?", "")} | {c} | {c[:i] + c[i + 1 :] for i in range(len(c))}
+    forms = {c.replace("?", x) for x in "?abcdefghijklmnopqrstuvwxyz"} if c.count("?") == 1 else {c}  # a lost letter is any letter
+    return {c.replace("?", "")} | forms | {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
 
 
 def same_places(clients: DataFrame) -> DataFrame:
@@ -331,10 +321,14 @@ def same_places(clients: DataFrame) -> DataFrame:
     parts = ["town", "number", "direction", "street", "kind", "cut"]
     members = cut_lineage(placed.select("rec_no", *parts, F.xxhash64(*parts).alias("variant")))
     variants = members.groupBy("variant").agg(*(F.first(c).alias(c) for c in parts))
-    keyed = variants.withColumn("key", F.explode(F.pandas_udf(lambda s: s.map(lambda x: sorted(deletions(x))), "array<string>")("street")))
-    left = keyed.select("town", "number", "key", *(F.col(c).alias(f"{c}_a") for c in ("variant", "direction", "street", "kind", "cut")))
-    right = keyed.select("town", "number", "key", *(F.col(c).alias(f"{c}_b") for c in ("variant", "direction", "street", "kind", "cut")))
-    candidates = left.join(right, ["town", "number", "key"]).where("variant_a < variant_b").drop("key", "town", "number").distinct()
+    variants = cut_lineage(variants.withColumn("letters", F.length(F.replace("street", F.lit(" "), F.lit("")))))
+    left = variants.select("town", "number", *(F.col(c).alias(f"{c}_a") for c in ("variant", "direction", "street", "kind", "cut", "letters")))
+    right = variants.select("town", "number", *(F.col(c).alias(f"{c}_b") for c in ("variant", "direction", "street", "kind", "cut", "letters")))
+    # what same_street can never accept isn't handed to it
+    given = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    fixed = F.expr("street_a = 'box' or street_b = 'box' or street_a rlike '^[0-9]+$' or street_b rlike '^[0-9]+$'")
+    size = F.col("cut_a") | F.col("cut_b") | (F.abs(F.col("letters_a") - F.col("letters_b")) <= 2)
+    candidates = left.join(right, ["town", "number"]).where("variant_a < variant_b").where(given("direction") & given("kind") & F.when(fixed, F.col("street_a") == F.col("street_b")).otherwise(size)).drop("town", "number", "letters_a", "letters_b")
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

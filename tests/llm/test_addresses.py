@@ -45,3 +45,10 @@ def test_very_long_and_repeated_rows(spark):
     rows = [(1, "5 " + "q" * 20000 + " Street", "Ruldumont", "FL", "33832"), (2, "5 " + "q" * 20000 + " St.", "Ruldumont", "FL", "33832"), (2, "5 " + "q" * 20000 + " St.", "Ruldumont", "FL", "33832")]
     df = spark.createDataFrame(rows, "rec_no bigint, address string, city string, state string, zip string")
     assert [tuple(r) for r in A.same_places(df).collect()] == [(1, 2)]
+
+
+def test_every_pair_that_agrees_is_compared(spark):
+    """A lost letter and a typo, two typos apart from each other, words in another order, a cut street mistyped at its start."""
+    texts = ["1832 Ni\ufffdeta Dr", "1832 NIÑERA DR", "38 W Montréval Ave", "38 West Motr\ufffdval Avenue", "77 Harborview Ave", "77 Hxrborvixw Ave", "9 Mill Stream Road", "9 Stream Mill Road", "5 Saffrongate Lane", "5 Zaffrong"]
+    df = spark.createDataFrame([(i, t, "Ruldumont", "FL", "33832") for i, t in enumerate(texts)], "rec_no bigint, address string, city string, state string, zip string")
+    assert sorted(map(tuple, A.same_places(df).collect())) == [(i, i + 1) for i in range(0, len(texts), 2)]
