@@ -254,13 +254,12 @@ def train(counted: list[tuple[str, int]]) -> Model:
 
 
 def _odd_words(frames: Sequence[DataFrame]) -> list[tuple[str, int]]:
-    """The most frequent odd words of all records; their number is bounded by what the classifier may be fitted on."""
+    """All distinct odd words of all records with their counts; only the classifier is fitted on the most frequent."""
     union = None
     for f in frames:
         one = f.where(F.col("txt").rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all("txt", F.lit(r"([^ \t\r\n]*[^\x00-\x7f ][^ \t\r\n]*)"), F.lit(1))).alias("w"))
         union = one if union is None else union.unionByName(one)
-    top = union.groupBy("w").count().orderBy(F.desc("count"), "w").limit(8 * TRAINING_WORDS)
-    return [(r["w"], r["count"]) for r in top.collect()]
+    return sorted(((r["w"], r["count"]) for r in union.groupBy("w").count().collect()), key=lambda x: (-x[1], x[0]))
 
 
 def _frame(df: DataFrame, f: Field) -> DataFrame:
@@ -274,7 +273,7 @@ def garbled(spark: SparkSession, sources: dict[str, DataFrame], fields: Sequence
     values that hold one; no value is shuffled.
     """
     frames = [_frame(sources[f.table], f) for f in fields]
-    model = spark.sparkContext.broadcast(train(_odd_words(frames)))  # bounded by TRAINING_WORDS
+    model = spark.sparkContext.broadcast(train(_odd_words(frames)))  # as large as the distinct odd words
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, seen = model.value, {}

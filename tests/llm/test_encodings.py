@@ -54,3 +54,10 @@ def test_records(spark):
     assert sorted(r["rec_no"] for r in out) == [900, 904, 905, 906, 906]
     assert {r["rec_no"]: r["restored"] for r in out if r["rec_no"] in (900, 904)} == {900: "una Lámpara y\nSillón", 904: "Größe"}
     assert E.garbled(spark, {"t": df.limit(0)}, (E.Field("t", "memo"),)).count() == 0
+
+
+def test_words_beyond_those_fitted_are_known(spark, monkeypatch):
+    monkeypatch.setattr(E, "TRAINING_WORDS", 2)
+    rows = [(k, f"{a}é{b}") for k, (a, b) in enumerate([(a, b) for a in "bcdfgl" for b in ("ron", "las", "tin", "mar", "nel")] * 20)] + [(2000 + i, "Canapé") for i in range(12)] + [(3000, "Canap?")]
+    df = spark.createDataFrame(rows, "rec_no bigint, memo string")
+    assert [r["rec_no"] for r in E.garbled(spark, {"t": df}, (E.Field("t", "memo"),)).collect()] == [3000]
