@@ -5,7 +5,7 @@ the log of how often the candidate occurs (the prior) plus the log likelihood th
 letter, abbreviations of a trade, missing parts). Records attributed to one canonical form name one entity.
 
 Organisations: the family names of a firm are attributed first, over the whole table, through deletion keys; then its trade
-word ("Hdwe." for "Hardware"), learned from words that stand at the same family name; a firm that leaves its trade out goes
+word ("Hdwe." for "Hardware"), looked up in fixed lists (none is learned); a firm that leaves its trade out goes
 to the firm of that family with the largest posterior, where records of its own place weigh most. Persons: inside each
 organisation the parts of a name are read (titles set aside, order, initials, nicknames), and attached to the most frequent
 full form that explains them.
