@@ -1,11 +1,14 @@
 """Text decoded with the wrong code page: found, and restored where the bytes allow.
 
-The words with characters beyond ASCII are counted over all records (few distinct ones, whatever the number of rows). From
-the trusted ones, synthetic garbled records are made with every known encoding chain (true page, wrong page, once or
-twice), and a multinomial classifier on hashed byte bigrams is trained to tell the chain of a word, "as it should be"
-included. The predicted chains are inverted, most likely first, and an inverse counts only where it decodes strictly and
-reads better than the word as it stands. Characters lost for good (replacement characters, question marks or controls in
-the place of a letter) are found too, but stay.
+A bounded sample of the most frequent words with characters beyond ASCII is counted over all records. From the trusted ones
+synthetic garbled records are made with every known encoding chain (true page, wrong page, once or twice), and a multinomial
+classifier on hashed byte bigrams is trained to predict the exact chain of a word, "as it should be" included. Its
+prediction decides: a word is garbled where a chain is more likely than none. The chain is inverted, and an inverse that
+doesn't decode strictly rules its chain out, so that the next likely one (or none) is taken.
+
+Characters lost for good have no inverse. A replacement or control character and a question
+mark between two letters tell by themselves; a question mark at a word's edge tells where the word is, but for it, a
+frequent word of the table (a join on words, of any number).
 
 Defined cases: null and blank values, and values of ASCII alone (but for question marks in place of letters), are never
 garbled; repeated rows count each; an empty table gives an empty result; only the named columns are read.
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import table
+from millrace.session import broadcast_if_small, cut_lineage, table
 
 
 @dataclass(frozen=True)
@@ -44,15 +47,21 @@ PAIRS = (
 )
 CHAINS: tuple[tuple[tuple[str, str], ...], ...] = ((), *((p,) for p in PAIRS), *((p, p) for p in PAIRS[:2]), (("utf-8", "cp1252"), ("utf-8", "latin-1")), (("utf-8", "latin-1"), ("utf-8", "cp1252")))
 
-#: Hashed features; most trusted words that the classifier is fitted on (the most frequent, ties by the word).
-WIDTH, TRAINING_WORDS = 4096, 4000
-#: Occurrences from which a word's contexts are taken for granted.
+#: Hashed features; most frequent odd words (ties by the word) from which the trusted ones are taken that the classifier is
+#: fitted on. The bound is on the fit alone: every word of every record is judged.
+WIDTH, TRAINING_WORDS = 16384, 32_000
+#: Share of odd words expected to be as they should be; weight of a word in capitals beside its count; share of the
+#: even distribution in each class.
+PRIOR, CAPITALS, SMOOTHING = 0.99, 0.1, 0.001
+#: Occurrences from which a word is frequent.
 TRUST = 4
 
 #: Words between blanks; a non-breaking space may stand for a letter and splits nothing.
 WORD = re.compile(r"[^ \t\r\n]+")
 ODD = re.compile(r"[^\x00-\x7f]")
 LOST = re.compile(r"�|[A-Za-zÀ-ɏЀ-ӿ]\?[A-Za-zÀ-ɏЀ-ӿ]")
+#: Signs around a word that are no part of it.
+EDGES = ".,;:()\"'#&/-"
 SIGNS = set("⁄½¼¾×®©™°“”‘’–—…€£§«»№·•±²³µªº¿¡")
 
 
@@ -131,14 +140,6 @@ def oddness(word: str) -> float:
     return bad
 
 
-def contexts(word: str) -> Iterator[tuple[str, str, str]]:
-    """For each character beyond ASCII: it with both neighbours, with the one before, with the one after."""
-    w = f"^{word.lower()}$"
-    for i in range(1, len(w) - 1):
-        if ord(w[i]) > 127:
-            yield w[i - 1 : i + 2], w[i - 1 : i + 1] + "_", "_" + w[i : i + 2]
-
-
 def features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte bigrams: row numbers and columns of the ones."""
     rows, cols = [], []
@@ -152,162 +153,150 @@ def features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ChainClassifier:
-    """Multinomial classifier of the chain by hashed byte bigrams (event model with additive smoothing)."""
+    """Multinomial classifier of the chain by hashed byte bigrams (event model, mixed with an even one)."""
 
-    def __init__(self, smoothing: float = 0.05):
+    def __init__(self, smoothing: float = SMOOTHING, prior: float = PRIOR):
         self.smoothing = smoothing
+        self.prior = np.full(len(CHAINS), np.log((1 - prior) / (len(CHAINS) - 1)))
+        self.prior[0] = np.log(prior)
 
     def fit(self, words: Sequence[str], labels: Sequence[int], weights: Sequence[float]) -> ChainClassifier:
-        counts = np.full((len(CHAINS), WIDTH), self.smoothing)
+        counts = np.zeros((len(CHAINS), WIDTH))
         rows, cols = features(words)
         y, w = np.asarray(labels, dtype=np.int64), np.asarray(weights, dtype=float)
         np.add.at(counts, (y[rows], cols), w[rows])
-        self.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        # a class has the mass of the words that its pages can write; a feature that no class has seen says the same of all
+        mass = np.bincount(y, weights=w, minlength=len(CHAINS))
+        share = mass / max(mass[0], 1e-9)
+        mix = (1 - self.smoothing) * counts * (share / np.maximum(counts.sum(1), 1e-9))[:, None] + self.smoothing / WIDTH
+        self.table = np.log(mix).astype(np.float32)
         return self
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
         rows, cols = features(words)
-        out = np.zeros((len(words), len(CHAINS)), dtype=np.float64)
+        out = np.tile(self.prior, (len(words), 1))
         np.add.at(out, rows, self.table[:, cols].T)
         return out
 
 
-@dataclass
-class Model:
-    classifier: ChainClassifier
-    known: dict[str, int]  # trusted words and how often they occur
-    masked: frozenset[str]  # trusted words with their letters beyond ASCII as question marks
-    seen: frozenset[str]  # contexts of characters beyond ASCII in trusted words
-
-    def strangeness(self, word: str) -> float:
-        """:func:`oddness`, and how many characters stand in contexts that no trusted word has."""
-        return oddness(word) + sum(0.0 if all3 in self.seen else 0.5 if before in self.seen or after in self.seen else 1.0 for all3, before, after in contexts(word))
-
-    def judge(self, word: str) -> tuple[bool, str | None]:
-        """(garbled, restored): the restored word is None where it is lost."""
-        if "�" in word:
-            return True, None
-        if not ODD.search(word):
-            return ("?" in word and word.lower().strip(".,;:()\"") in self.masked) or bool(LOST.search(word)), None
-        core = word.strip(".,;:()\"'#&/-")
-        if core.lower() in self.known:
-            return False, None
-        here = self.strangeness(core)
-        order = np.argsort(-self.classifier.scores([word])[0], kind="stable")
-        best, best_key = None, None
-        for rank, k in enumerate(order):
-            if k == 0:
-                continue
-            text = restore(word, CHAINS[k])
-            if text is None or text == word or any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in text):
-                continue
-            bare = text.strip(".,;:()\"'#&/-")
-            known, cost = bare.lower() in self.known, self.strangeness(bare)
-            key = (not known, cost, rank)
-            if (known or cost < here) and (best_key is None or key < best_key):
-                best, best_key = text, key
-        if best is not None:
-            return True, best
-        if any(0x7F <= ord(c) < 0xA0 or _script(c) == "other" and not c.isalpha() for c in word) or here >= 3.0:
-            return True, None
-        return ("?" in word and word.lower().strip(".,;:()\"") in self.masked) or bool(LOST.search(word)), None
-
-
-def train(counted: list[tuple[str, int]]) -> Model:
-    """A model from the counted odd words of the records.
-
-    A word is trusted where no strict inverse of any chain reads better, or is found more often. Trusted words are
+def verified(word: str, scores: np.ndarray) -> str | None:
+    """The restored word by the most likely chain that decodes strictly; None where none is more likely than no chain."""
+    for k in np.argsort(-scores, kind="stable"):
+        if k == 0:
+            return None
+        text = restore(word, CHAINS[k])
+        if text is not None and text != word and not any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in text):
+            return text
+    return None
+
+
+def judge(classifier: ChainClassifier, words: Sequence[str]) -> list[tuple[bool, str | None]]:
+    """(garbled, restored) of each word: the restored word is None where it is lost."""
+    odd = [w for w in words if ODD.search(w) and "�" not in w]
+    restored = {w: verified(w, s) for w, s in zip(odd, classifier.scores(odd))} if odd else {}
+    out: list[tuple[bool, str | None]] = []
+    for w in words:
+        good = restored.get(w)
+        out.append((good is not None or bool(LOST.search(w)) or any(0x7F <= ord(c) < 0xA0 for c in w), good))
+    return out
+
+
+def train(counted: list[tuple[str, int]]) -> ChainClassifier:
+    """The classifier from the counted odd words of the sample.
+
+    A word is trusted where no strict inverse of any chain looks more like writing, or is found more often. Trusted words are
     garbled with every chain; what comes out is the training set.
     """
-    exact, count = Counter(), Counter()
+    count: Counter[str] = Counter()
+    for w, n in counted:
+        count[bare(w)] += n
+    words, labels, weights = sorted(SIGNS), [0] * len(SIGNS), [1.0] * len(SIGNS)  # signs that correct text has anywhere
     for w, n in counted:
-        core = w.strip(".,;:()\"'#&/-")
-        exact[core] += n
-        count[core.lower()] += n
-    trusted: Counter[str] = Counter()
-    for w, n in exact.items():
         if not ODD.search(w) or "�" in w or any(0x7F <= ord(c) < 0xA0 for c in w):
             continue
-        here = oddness(w)
+        core = w.strip(EDGES)
+        here = oddness(core)
         for chain in CHAINS[1:]:
-            text = restore(w, chain)
-            if text is not None and text != w and (oddness(text) < here or count.get(text.lower(), 0) > 2 * count[w.lower()]):
+            text = restore(core, chain)
+            if text is not None and text != core and (oddness(text) < here or count.get(text.lower(), 0) > 2 * count[core.lower()]):
                 break
         else:
-            trusted[w.lower()] += n
-    # what is seen once or twice in a corpus of many words is trusted only in contexts that frequent words have
-    frequent = {w: n for w, n in trusted.items() if n >= TRUST}
-    seen = frozenset(x for w in frequent for c in contexts(w) for x in c)
-    trusted = {w: n for w, n in trusted.items() if n >= TRUST or all(all3 in seen for all3, _, _ in contexts(w))}
-    fitted = sorted(trusted.items(), key=lambda x: (-x[1], x[0]))[:TRAINING_WORDS]
-    words, labels, weights = [], [], []
-    for w, n in fitted:
-        for form in {w, w.upper(), w.capitalize()}:
-            for k, chain in enumerate(CHAINS):
-                g = garble(form, chain)
-                if g is not None and (k == 0 or g != form):
-                    words.append(g)
-                    labels.append(k)
-                    weights.append(1.0 + np.log1p(n) / 4)
-    model = ChainClassifier().fit(words, labels, weights)
-    return Model(model, trusted, frozenset(ODD.sub("?", w) for w in trusted), seen)
-
-
-def _odd_words(frames: Sequence[DataFrame]) -> list[tuple[str, int]]:
-    """All distinct odd words of all records with their counts; only the classifier is fitted on the most frequent."""
+            for form, weight in {w.upper(): CAPITALS * n, w: float(n)}.items():
+                for k, chain in enumerate(CHAINS):
+                    g = garble(form, chain)
+                    if g is not None and (k == 0 or g != form):
+                        words.append(g)
+                        labels.append(k)
+                        weights.append(weight)
+    return ChainClassifier().fit(words, labels, weights)
+
+
+def _odd_words(frames: Sequence[DataFrame]) -> DataFrame:
+    """w, n: all distinct odd words of all records with their counts."""
     union = None
     for f in frames:
         one = f.where(F.col("txt").rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all("txt", F.lit(r"([^ \t\r\n]*[^\x00-\x7f ][^ \t\r\n]*)"), F.lit(1))).alias("w"))
         union = one if union is None else union.unionByName(one)
-    return sorted(((r["w"], r["count"]) for r in union.groupBy("w").count().collect()), key=lambda x: (-x[1], x[0]))
+    return union.groupBy("w").agg(F.count("*").alias("n"))
 
 
 def _frame(df: DataFrame, f: Field) -> DataFrame:
     return df.select(F.lit(f.table).alias("table_name"), F.lit(f.column).alias("field_name"), F.col(f.record).cast("bigint").alias("rec_no"), F.col(f.column).alias("txt"))
 
 
+def bare(word: str) -> str:
+    return word.strip(EDGES).lower()
+
+
 def garbled(spark: SparkSession, sources: dict[str, DataFrame], fields: Sequence[Field] = FIELDS) -> DataFrame:
     """table_name, field_name, rec_no, restored of every value with a wrong character.
 
     ``restored`` is the value with every restorable word restored. One pass counts odd words, a second one judges the
-    values that hold one; no value is shuffled.
+    values that hold one; no value is shuffled but those with a question mark at the edge of a word.
     """
     frames = [_frame(sources[f.table], f) for f in fields]
-    model = spark.sparkContext.broadcast(train(_odd_words(frames)))  # as large as the distinct odd words
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, seen = model.value, {}
-
-        def look(w: str) -> tuple[bool, str | None]:
-            if w not in seen:
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen[w] = m.judge(w)
-            return seen[w]
+    vocabulary = cut_lineage(_odd_words(frames))
+    sample = vocabulary.orderBy(F.desc("n"), "w").limit(TRAINING_WORDS).collect()
+    classifier = spark.sparkContext.broadcast(train([(r["w"], r["n"]) for r in sample]))  # of fixed size
 
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple[bool, str | None]] = {}
         for pdf in batches:
-            keep, texts = [], []
-            for t in pdf["txt"]:
-                hit, parts, at = False, [], 0
-                for x in WORD.finditer(t):
-                    w = x.group()
-                    if w.isascii() and "?" not in w:
-                        continue
-                    bad, good = look(w)
+            spans = [[(x.start(), x.end(), x.group()) for x in WORD.finditer(t) if not x.group().isascii() or "?" in x.group()] for t in pdf["txt"]]
+            fresh = list({w for one in spans for _, _, w in one} - seen.keys())
+            if len(seen) + len(fresh) > 200_000:
+                seen.clear()
+                fresh = list({w for one in spans for _, _, w in one})
+            seen.update(zip(fresh, judge(classifier.value, fresh)))
+            hits, texts, asked = [], [], []
+            for t, one in zip(pdf["txt"], spans):
+                hit, parts, at, ask = False, [], 0, set()
+                for a, b, w in one:
+                    bad, good = seen[w]
                     hit |= bad
                     if bad and good is not None:
-                        parts += [t[at : x.start()], good]
-                        at = x.end()
-                keep.append(hit)
+                        parts += [t[at:a], good]
+                        at = b
+                    elif not bad and "?" in w:
+                        ask.add(bare(w))
+                hits.append(hit)
                 texts.append("".join([*parts, t[at:]]))
-            out = pdf.drop(columns="txt").assign(restored=texts)
-            yield out[np.array(keep, dtype=bool)]
+                asked.append([] if hit else sorted(ask))
+            out = pdf.drop(columns="txt").assign(restored=texts, hit=hits, asked=pd.Series(asked, index=pdf.index, dtype=object))
+            yield out[[h or bool(a) for h, a in zip(hits, asked)]]
 
     union = None
     for f in frames:
         one = f.where(F.col("txt").rlike(r"[^\x00-\x7f]") | F.col("txt").contains("?"))
         union = one if union is None else union.unionByName(one)
-    return union.mapInPandas(judge, "table_name string, field_name string, rec_no bigint, restored string")
+    looked = cut_lineage(union.mapInPandas(look, "table_name string, field_name string, rec_no bigint, restored string, hit boolean, asked array<string>"))
+    columns = ["table_name", "field_name", "rec_no", "restored"]
+    # a question mark in place of a first or last letter: the word is a frequent one but for it
+    good = F.pandas_udf(lambda w: pd.Series([not bad for bad, _ in judge(classifier.value, w.tolist())], dtype="bool"), "boolean")
+    frequent = vocabulary.where((F.col("n") >= TRUST) & good("w")).select(F.regexp_replace(F.lower(F.trim("w", F.lit(EDGES))), r"[^\x00-\x7f]", "?").alias("word")).distinct()
+    doubtful = looked.where("not hit").groupBy(*columns, "asked").agg(F.count("*").alias("rows")).withColumn("word", F.explode("asked"))
+    lost = doubtful.join(broadcast_if_small(frequent), "word", "left_semi").select(*columns, "rows").distinct()
+    return looked.where("hit").select(columns).unionByName(lost.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(columns))
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:

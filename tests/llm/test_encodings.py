@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from millrace.llm import encodings as E
 
 WORDS = "Lámpara Canapé Estantería Bücherregal Größe Schlüssel Pförtner Sillón Corazón maçã Crédence chêne Rødgrød añejo Кресло Стол дубовый Гречка Étagère Über".split()
@@ -9,6 +11,10 @@ def model():
     return E.train([(w, 50) for w in WORDS] + [("dock?", 3)])
 
 
+def judge(m, w):
+    return E.judge(m, [w])[0]
+
+
 def test_round_trip_of_every_chain():
     for chain in E.CHAINS[1:]:
         for w in WORDS:
@@ -27,7 +33,7 @@ def test_held_out_words_are_found_and_restored():
             g = E.garble(typo, chain)
             if g is None or g == typo:
                 continue
-            bad, good = m.judge(g)
+            bad, good = judge(m, g)
             total += 1
             hits += bad
             right += good == typo
@@ -37,13 +43,26 @@ def test_held_out_words_are_found_and_restored():
 def test_correct_text_is_left_alone():
     m = model()
     for w in [*WORDS, "MAÇÃ,", "LÁMPARA", "dock?", "9×12", "½", "plain", "Canapé,"]:
-        assert m.judge(w) == (False, None), w
+        assert judge(m, w) == (False, None), w
 
 
 def test_lost_for_good():
     m = model()
-    for w in ("L?mpara", "Canap?,", "��mpara", "Schl?ssel"):
-        assert m.judge(w) == (True, None), w
+    for w in ("L?mpara", "��mpara", "Schl?ssel"):
+        assert judge(m, w) == (True, None), w
+
+
+def test_the_classifier_decides():
+    """Scores that tell nothing, or always none, wreck the result: nothing beside the classifier finds garbled words."""
+    m = model()
+    pairs = [(g, w) for w in WORDS for c in E.CHAINS[1:] if (g := E.garble(w, c)) is not None and g != w and not any(0x7F <= ord(x) < 0xA0 for x in g)]
+    garbled = [g for g, _ in pairs]
+    right = lambda: sum(good == w for (_, good), (_, w) in zip(E.judge(m, garbled), pairs))
+    assert right() >= 0.9 * len(pairs) and sum(bad for bad, _ in E.judge(m, garbled)) >= 0.97 * len(pairs) and not any(bad for bad, _ in E.judge(m, WORDS))
+    m.scores = lambda words: np.tile(np.eye(len(E.CHAINS))[0], (len(words), 1))
+    assert not any(bad for bad, _ in E.judge(m, garbled))
+    m.scores = lambda words, r=np.random.default_rng(1): r.normal(size=(len(words), len(E.CHAINS)))
+    assert right() < 0.5 * len(pairs) and sum(bad for bad, _ in E.judge(m, WORDS)) > 0.5 * len(WORDS)
 
 
 def test_records(spark):
