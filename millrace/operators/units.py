@@ -26,10 +26,17 @@ from millrace.session import broadcast_if_small, cut_lineage
 # Unit of text -> (base, factor to grams, millilitres or pieces).
 UNITS = {
     "kg": ("g", 1000.0), "kgs": ("g", 1000.0), "g": ("g", 1.0), "gr": ("g", 1.0), "grams": ("g", 1.0),
+    "gram": ("g", 1.0), "gramme": ("g", 1.0), "grammes": ("g", 1.0), "kilo": ("g", 1000.0), "kilos": ("g", 1000.0), "kilogram": ("g", 1000.0), "kilograms": ("g", 1000.0),
+    "milligram": ("g", 0.001), "milligrams": ("g", 0.001), "ounce": ("g", 28.349523125), "ounces": ("g", 28.349523125), "pound": ("g", 453.59237), "pounds": ("g", 453.59237),
     "mg": ("g", 0.001), "oz": ("g", 28.349523125), "lb": ("g", 453.59237), "lbs": ("g", 453.59237),
     "ml": ("ml", 1.0), "cl": ("ml", 10.0), "dl": ("ml", 100.0), "l": ("ml", 1000.0), "litre": ("ml", 1000.0),
     "litres": ("ml", 1000.0), "liter": ("ml", 1000.0), "liters": ("ml", 1000.0), "fl oz": ("ml", 29.5735295625),
     "pt": ("ml", 16 * 29.5735295625), "qt": ("ml", 32 * 29.5735295625), "gal": ("ml", 128 * 29.5735295625),
+    "millilitre": ("ml", 1.0), "millilitres": ("ml", 1.0), "milliliter": ("ml", 1.0), "milliliters": ("ml", 1.0), "centilitre": ("ml", 10.0), "centilitres": ("ml", 10.0),
+    "centiliter": ("ml", 10.0), "centiliters": ("ml", 10.0), "decilitre": ("ml", 100.0), "decilitres": ("ml", 100.0), "deciliter": ("ml", 100.0), "deciliters": ("ml", 100.0),
+    "pint": ("ml", 16 * 29.5735295625), "pints": ("ml", 16 * 29.5735295625), "quart": ("ml", 32 * 29.5735295625), "quarts": ("ml", 32 * 29.5735295625),
+    "gallon": ("ml", 128 * 29.5735295625), "gallons": ("ml", 128 * 29.5735295625), "pts": ("ml", 16 * 29.5735295625), "qts": ("ml", 32 * 29.5735295625), "gals": ("ml", 128 * 29.5735295625),
+    "piece": ("pc", 1.0), "ea": ("pc", 1.0), "unit": ("pc", 1.0), "units": ("pc", 1.0), "count": ("pc", 1.0), "pair": ("pc", 2.0), "pairs": ("pc", 2.0),
     "pc": ("pc", 1.0), "pcs": ("pc", 1.0), "pieces": ("pc", 1.0), "each": ("pc", 1.0), "ct": ("pc", 1.0),
     "doz": ("pc", 12.0), "dozen": ("pc", 12.0), "dz": ("pc", 12.0), "gro": ("pc", 144.0), "gross": ("pc", 144.0),
 }
@@ -37,8 +44,13 @@ UNITS = {
 PACKINGS = "bag bags bottle bottles box boxes can cans carton cartons case cases crock crocks drum drums flask flasks jar jars jug jugs keg kegs pkg pkgs pouch pouches sachet sachets sack sacks tin tins tray trays tub tubs vial vials wheel wheels pack packs".split()
 FLUID = ("bottle", "bottles", "can", "cans", "carton", "cartons")
 SINGULAR = {w for w in PACKINGS if f"{w}s" in PACKINGS or f"{w}es" in PACKINGS}
-# Number words.
-NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "eight": 8, "ten": 10, "twelve": 12, "twenty": 20}
+#: Written-out units in the singular: behind a number other than one such a word ends a text that was cut.
+ONE_UNIT = {w for w in UNITS if f"{w}s" in UNITS and len(w) > 3 and w not in ("litre", "liter")}
+# Number words; those up to ninety-nine are put together from them.
+_ONES = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = {w: i for i, w in enumerate(_ONES, 1)} | {w: 10 * i for i, w in enumerate(_TENS, 2)} | {"hundred": 100}
+NUMBER_WORDS |= {f"{t}{sep}{o}": 10 * i + k for i, t in enumerate(_TENS, 2) for k, o in enumerate(_ONES[:9], 1) for sep in ("-", " ")}
 # Fractions in one character or three.
 FRACTIONS = {"½": "0.5", "¼": "0.25", "¾": "0.75", "1/2": "0.5", "1/4": "0.25", "3/4": "0.75"}
 
@@ -56,6 +68,9 @@ _COUNT = f"({_alternatives(COUNT_UNITS)})\\.?"
 _SEP = r" ?(?:x|-|/|of|×) ?"
 
 
+_NUMBER_WORD = re.compile(rf"({_alternatives(NUMBER_WORDS)})(?![a-z])")
+
+
 def normalised(text: str) -> str:
     """Lower case, single spaces, decimal points, number words and fractions as digits."""
     q = re.sub(r"(\d),(\d)", r"\1.\2", " ".join(text.lower().split()))
@@ -63,11 +78,12 @@ def normalised(text: str) -> str:
     for sign in "½¼¾":
         q = q.replace(sign, FRACTIONS[sign])
     q = re.sub(r"(?<![\d/.])(1/2|1/4|3/4)(?= ?[a-z])", lambda m: FRACTIONS[m[1]], q)
+    q = re.sub(r"\bfluid (?=ounces?\b|oz\b)", "fl ", q)
+    q = re.sub(r"\bfl\.? ounces?\b", "fl oz", q)
     q = re.sub(r"^([a-z]+|\d+) ?(dozen|doz\.?|dz\.?|gross|gro\.?) (?=\d)", r"\1 \2 x ", q)
-    q = re.sub(r"^([a-z]+) (?=dozen|doz|dz|gro)", lambda m: f"{NUMBER_WORDS[m[1]]} " if m[1] in NUMBER_WORDS else m[0], q)
-    if m := re.match(r"([a-z]+)(?: (?=\d)| ?x ?| - ?|/)", q):
-        if m[1] in NUMBER_WORDS:
-            q = f"{NUMBER_WORDS[m[1]]} x {q[m.end():]}"
+    if m := _NUMBER_WORD.match(q):  # a number alone before digits counts packs; before a unit or packing it is the size
+        between = re.match(r" (?=\d)| ?x ?| - ?|/", q[m.end() :])
+        q = f"{NUMBER_WORDS[m[1]]} x {q[m.end() + between.end() :]}" if between else f"{NUMBER_WORDS[m[1]]}{q[m.end() :]}"
     return q
 
 
@@ -95,7 +111,9 @@ def contents(text: str | None) -> tuple[str | None, float | None]:
     else:
         return None, None
     unit = re.sub(r"^fl\.? ?oz", "fl oz", unit or "")
-    base, factor = UNITS["fl oz"] if unit == "oz" and any(p in FLUID for p in packs) else UNITS[unit] if unit else ("pc", 1.0)
+    if unit in ONE_UNIT and float(size) != 1 and not any(packs):
+        return None, None
+    base, factor = UNITS["fl oz"] if unit in ("oz", "ounce", "ounces") and any(p in FLUID for p in packs) else UNITS[unit] if unit else ("pc", 1.0)
     amount = float(count) * COUNT_UNITS.get(many or "", 1.0) * float(size) * factor
     return (base, amount) if 0 < amount < math.inf else (None, None)
 
@@ -161,22 +179,36 @@ def price_scales(rows: DataFrame, reference: DataFrame, penalty: float = 3.0, ca
 
 
 def common_units(df: DataFrame, key: str, product: str, pack_text: str, price: str, source: str, changed: str, penalty: float = 3.0) -> DataFrame:
-    """key, product, digits, base, amount, price (double), pack_price (dollars for one whole pack), scale.
+    """key, product, digits, text_state (blank, unparsed, parsed), base, amount, price (double), pack_price (dollars for one
+    whole pack), scale.
 
-    The reference level of a product is first the median log price of the source with most rows, then, in a second
-    search over all sources, the median over all rows put on their scale.
+    The reference level of a product is first the median log price of one source, then, in a second search over all sources,
+    the median over all rows put on their scale. The source is the one with most rows under which at least half of all rows
+    come out in dollars per pack, as most records are kept; failing that, the one under which most do.
     """
     rows = df.select(
         F.col(key).alias("key"), F.col(product).alias("product"), F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.unix_date(F.to_date(F.col(changed))), F.lit(-1)).cast("int").alias("day"),
         F.col(price).cast("double").alias("price"), F.regexp_replace(F.col(pack_text), "[^0-9]", "").alias("digits"), F.col(pack_text).alias("__text"),
     ).distinct()
-    rows = rows.withColumn("c", F.pandas_udf(contents_batch, "base string, amount double")("__text")).select("*", "c.base", "c.amount").drop("c", "__text")
+    rows = rows.withColumn("c", F.pandas_udf(contents_batch, "base string, amount double")("__text")).select("*", "c.base", "c.amount")
+    state = F.when(F.coalesce(F.trim("__text"), F.lit("")) == "", "blank").when(F.col("amount").isNull(), "unparsed").otherwise("parsed")
+    rows = rows.withColumn("text_state", state).drop("c", "__text")
     rows = cut_lineage(rows)
     priced = rows.where("price > 0 and amount > 0 and product is not null").withColumn("lp", F.log("price"))
-    main = priced.groupBy("source").count().orderBy(F.desc("count"), "source").limit(1).select("source")
-    first = priced.join(F.broadcast(main), "source").groupBy("product").agg(F.percentile_approx("lp", 0.5, 1000).alias("ref"))
-    scales = cut_lineage(price_scales(priced, first, penalty))
+    days = cut_lineage(priced.groupBy("source", "day").agg(F.count("*").alias("rows")))
+    scales, best = None, -1.0
+    sources = [r["source"] for r in days.groupBy("source").agg(F.sum("rows").alias("n")).orderBy(F.desc("n"), "source").select("source").collect()]  # a row per source
+    for name in sources:
+        first = priced.where(F.col("source") == name).groupBy("product").agg(F.percentile_approx("lp", 0.5, 1000).alias("ref"))
+        tried = cut_lineage(price_scales(priced, first, penalty))
+        whole = days.join(broadcast_if_small(tried), ["source", "day"], "left").agg(F.sum(F.when(F.col("scale") == "pack", F.col("rows")).otherwise(0)) / F.sum("rows")).first()[0] or 0.0
+        if whole > best:
+            scales, best = tried, whole
+        if whole >= 0.5:
+            break
+    if scales is None:
+        scales = price_scales(priced, priced.select("product", F.col("lp").alias("ref")), penalty)  # no prices at all
 
     def on_scale(scale_rows: DataFrame) -> DataFrame:
         f = _log_factors(F.col("base"), F.col("amount"))

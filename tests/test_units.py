@@ -13,7 +13,8 @@ from millrace.operators import units as U
 @pytest.mark.parametrize(
     ("text", "want"),
     [("24 - 330 ml bottles", ("ml", 7920)), ("16x227G", ("g", 3632)), ("0,355 l x 24", ("ml", 8520)), ("3 doz. x 0.125 gal", ("ml", 36 * 473.176473)), ("12 bags of 20", ("pc", 240)), ("50 doz.", ("pc", 600)), ("2 gross", ("pc", 288)), ("½ kg tin", ("g", 500)),
-     ("1/2 lbs pouch", ("g", 226.796185)), ("12/2 lb", ("g", 24 * 453.59237)), ("25.4 oz carton", ("ml", 25.4 * 29.5735295625)), ("10/3.53 oz.", ("g", 35.3 * 28.349523125)), ("TWELVE 6 OZ", ("g", 72 * 28.349523125)), ("two dozen 1 lbs", ("g", 24 * 453.59237)), ("8 boxes x 6 bags", ("pc", 48)),
+     ("1/2 lbs pouch", ("g", 226.796185)), ("12/2 lb", ("g", 24 * 453.59237)), ("25.4 oz carton", ("ml", 25.4 * 29.5735295625)), ("10/3.53 oz.", ("g", 35.3 * 28.349523125)), ("seven x 100 g", ("g", 700)), ("3 gallons", ("ml", 3 * 3785.411784)), ("2 pints", ("ml", 946.352946)), ("5 pounds", ("g", 5 * 453.59237)), ("16 ounces", ("g", 453.59237)), ("1 quart", ("ml", 946.352946)),
+     ("eleven dozen", ("pc", 132)), ("forty-two pieces", ("pc", 42)), ("6 x 12 ounce bottles", ("ml", 72 * 29.5735295625)), ("16 fluid ounces", ("ml", 16 * 29.5735295625)), ("12 - 340 gram", None), ("TWELVE 6 OZ", ("g", 72 * 28.349523125)), ("two dozen 1 lbs", ("g", 24 * 453.59237)), ("8 boxes x 6 bags", ("pc", 48)),
      ("24 - 330 ml bottl", None), ("10 - 0.25 LBS JA", None), ("24 - 330 ml bottle", None), ("12 bags x", None), ("1 kg bags in", None), ("", None), (None, None), ("x" * 9999, None), ("0 g", None)],
 )
 def test_contents(text, want):
@@ -79,3 +80,17 @@ def test_repeated_rows_count_once(spark):
     args = ("rec_no", "productid", "quantitype", "unitprice", "source_sys", "updated_at")
     once, twice = (U.unit_matches(U.common_units(x, *args)) for x in (df, df.union(df)))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+
+
+def test_the_largest_source_may_keep_another_scale(spark):
+    """The source with most rows prices by the dozen; most rows of all are dollars per pack, so another source is the reference."""
+    rows, n = [], 0
+    for p in range(40):
+        dollars = 5 + p * 1.37
+        for s, copies, factor in (("bulk", 3, 12), ("north", 2, 1), ("south", 2, 1), ("west", 2, 1)):
+            for _ in range(copies):
+                n += 1
+                rows.append((n, 1000 + p, "500 g", Decimal(f"{dollars * factor:.4f}"), s, dt.datetime(2020, 1, 1) + dt.timedelta(days=n % 90), "", ""))
+    u = U.common_units(spark.createDataFrame(rows, SCHEMA), "rec_no", "productid", "quantitype", "unitprice", "source_sys", "updated_at")
+    scales = {(r["key"] > 0, r["scale"]) for r in u.where("abs(price - pack_price) < 0.001").select("key", "scale").collect()}
+    assert scales == {(True, "pack")} and u.where("scale = 'dozen packs'").count() == 120 and u.where("text_state <> 'parsed'").count() == 0
