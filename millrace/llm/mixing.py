@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source is to contribute its share of the total, which is the tokens its documents and those of the other named
-sources hold now. A source's expected copies per document are its target tokens over its own tokens, at most
-``max_repeats``. The whole part of it is given to every document as certain copies; the rest is an inclusion probability.
-Documents get a uniform number from a hash of their id and are ranked by random odds divided by inclusion odds (Pareto
-order sampling); the smallest ranks are taken until the source's remaining tokens are filled.
+sources hold now. A document's expected copies are in proportion to its weight, the logarithm of its tokens (an almost empty
+message says little, and a long one not as much more as it is longer), at most ``max_repeats``; the factor is the one with
+which the expected tokens of the source meet its target. The whole part of the expected copies is given as certain copies;
+the rest is the document's own inclusion probability. Documents get a uniform number from a hash of their id and are ranked
+by random odds divided by inclusion odds (Pareto order sampling); the smallest ranks are taken until the source's remaining
+tokens are filled.
 
 No source is sorted in one task: ranks are counted in ``BUCKETS`` buckets per source, the bucket in which the remaining
 tokens run out is found on these counts, and only its documents are ordered among each other.
@@ -54,6 +56,27 @@ def _uniform(key: Column, seed: int) -> Column:
     return (h + 0.5) / float(1 << 48)
 
 
+def weight(tokens: str) -> Column:
+    return F.log1p(F.col(tokens))
+
+
+def expected_copies(sized: DataFrame, want: DataFrame) -> DataFrame:
+    """source, most, factor: expected copies of a document are factor times its weight, at most ``most`` (all documents have
+    ``most`` where factor is null). Solved on the distinct sizes of each source: those from some size on are capped."""
+    sizes = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    have = sizes.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("have"), F.sum(F.col("tokens") * F.col("n") * weight("tokens")).alias("weighed"))
+    have = have.withColumn("total", F.sum("have").over(Window.partitionBy(F.lit(0))))  # a row per source
+    plan = cut_lineage(want.join(have, "source").select("source", "most", "weighed", F.least(F.col("share") * F.col("total"), F.col("most") * F.col("have")).alias("target")))
+    larger = Window.partitionBy("source").orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(larger), F.lit(0.0))
+    size = F.col("tokens") * F.col("n")
+    at = sizes.join(broadcast_if_small(plan), "source").withColumn("capped", before(size.cast("double"))).withColumn("open", F.col("weighed") - before(size * weight("tokens")))
+    at = at.withColumn("factor", (F.col("target") - F.col("most") * F.col("capped")) / F.col("open"))
+    fits = (F.col("factor") > 0) & (F.col("factor") * weight("tokens") <= F.col("most"))
+    solved = at.where(fits).groupBy("source").agg(F.max_by("factor", "tokens").alias("factor"))
+    return plan.join(solved, "source", "left").select("source", "most", "factor")
+
+
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, source, tokens, repeats (at least 1) of the chosen documents."""
     want = targets.groupBy(F.col("doc_source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).where("source is not null and share > 0 and most > 0")
@@ -61,19 +84,16 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
     count = F.pandas_udf(token_counts(tokenizer), "bigint")
     named = docs.join(broadcast_if_small(targets.select(F.col("doc_source").alias("source")).distinct()), "source", "left_semi")
     sized = cut_lineage(named.select("doc_id", "source", count("text").alias("tokens")).where("tokens > 0"))
-    have = sized.groupBy("source").agg(F.sum("tokens").alias("have"))
-    have = have.withColumn("total", F.sum("have").over(Window.partitionBy(F.lit(0))))  # a row per source
-    plan = (
-        want.join(have, "source")
-        .withColumn("copies", F.least(F.col("share") * F.col("total") / F.col("have"), F.col("most").cast("double")))
-        .withColumn("sure", F.floor("copies")).withColumn("chance", F.col("copies") - F.floor("copies"))
-        .withColumn("rest", F.col("chance") * F.col("have")).select("source", "sure", "chance", "rest")
-    )
+    plan = expected_copies(sized, want)
     u = _uniform(F.col("doc_id"), seed)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
+    copies = F.when(F.col("factor").isNull(), F.col("most")).otherwise(F.least(F.col("factor") * weight("tokens"), F.col("most"))).cast("double")
+    drawn = sized.join(broadcast_if_small(plan), "source").withColumn("copies", copies).withColumn("sure", F.floor("copies")).withColumn("chance", F.col("copies") - F.floor("copies"))
+    left = drawn.groupBy("source").agg((F.sum(F.col("tokens") * F.col("copies")) - F.sum(F.col("tokens") * F.col("sure"))).alias("rest"))
+    drawn = drawn.join(broadcast_if_small(cut_lineage(left)), "source")
     # the rank's place among all possible ranks, in buckets of equal probability
     ranked = (
-        sized.join(broadcast_if_small(plan), "source").withColumn("u", u).withColumn("rank", F.when(F.col("chance") > 0, odds).otherwise(F.lit(float("inf"))))
+        drawn.withColumn("u", u).withColumn("rank", F.when(F.col("chance") > 0, odds).otherwise(F.lit(float("inf"))))
         .withColumn("bucket", F.floor(F.when(F.col("chance") > 0, F.col("rank") / (1 + F.col("rank"))).otherwise(F.lit(1.0)) * BUCKETS))
     )
     sums = ranked.where("chance > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"))

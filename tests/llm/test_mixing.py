@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +43,32 @@ def test_order_against_brute_force(spark, data):
     docs, targets = data
     sized = docs.where("doc_id < 9000 and source = 'big'").select("doc_id", F.pandas_udf(M.token_counts(), "bigint")("text").alias("n"), M._uniform(F.col("doc_id"), 7).alias("u")).collect()
     total = docs.where("doc_id < 9000").agg(F.sum(F.pandas_udf(M.token_counts(), "bigint")("text"))).first()[0]
-    want, at = set(), 0
-    for r in sorted(sized, key=lambda r: (r["u"] / (1 - r["u"]), r["doc_id"])):
-        if at + r["n"] / 2 > 0.7 * total:
+    # the factor by bisection, then Pareto ranks one by one
+    low, high = 0.0, 10.0
+    for _ in range(80):
+        k = (low + high) / 2
+        low, high = (k, high) if sum(r["n"] * min(1.0, k * math.log1p(r["n"])) for r in sized) < 0.7 * total else (low, k)
+    copies = {r["doc_id"]: min(1.0, low * math.log1p(r["n"])) for r in sized}
+    assert len({round(c, 3) for c in copies.values()}) > 3  # chances differ inside a source
+    sure = {d for d, c in copies.items() if c >= 1 - 1e-9}
+    rest = 0.7 * total - sum(r["n"] for r in sized if r["doc_id"] in sure)
+    rank = lambda r: (r["u"] / (1 - r["u"])) / (copies[r["doc_id"]] / (1 - copies[r["doc_id"]]))
+    want, at = set(sure), 0
+    for r in sorted((r for r in sized if r["doc_id"] not in sure), key=lambda r: (rank(r), r["doc_id"])):
+        if at + r["n"] / 2 > rest:
             break
         want.add(r["doc_id"])
         at += r["n"]
     assert {r["doc_id"] for r in M.mixture(docs, targets).where("source = 'big'").collect()} == want
+
+
+def test_expected_tokens_meet_the_target(spark, data):
+    docs, _ = data
+    small = docs.where("source = 'small'")
+    targets = spark.createDataFrame([("small", 1.0, 2)], "doc_source string, target_share double, max_repeats int")
+    few = small.limit(60).cache()
+    sized = few.select("doc_id", "source", F.pandas_udf(M.token_counts(), "bigint")("text").alias("tokens"))
+    want = targets.select(F.col("doc_source").alias("source"), F.lit(0.4).alias("share"), F.col("max_repeats").alias("most"))
+    factor = M.expected_copies(sized, want).first()["factor"]
+    rows = sized.collect()
+    assert abs(sum(r["tokens"] * factor * math.log1p(r["tokens"]) for r in rows) - 0.4 * sum(r["tokens"] for r in rows)) < 1e-6
