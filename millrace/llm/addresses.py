@@ -2,10 +2,10 @@
 
 Addresses are split into components (number or box, direction, street words, street type; unit, floor and landmark are
 set aside) and the town is settled from city, state and zip by the spellings most records use. Equal components become one
-variant with its records as members. Every two variants of one block of town and house number are compared (the number is a
-hard veto, so a block holds no more than the spellings of a town's streets; the block of a postcode and that of its
-neighbouring locality are the same town). Their street words are put together by the cheapest assignment; types and
-directions veto where both are given.
+variant with its records as members. Variants meet through a deletion-neighbourhood index on their street words inside blocks
+of town and house number (the number is a hard veto; the blocks of a postcode and of its neighbouring locality are the same
+town). The index covers every distance that is accepted (:func:`index_keys`), whatever the size of a block. Street words
+of two variants are then put together by the optimal assignment; types and directions veto where both are given.
 
 Work is between variants, so that any number of equal records costs one comparison; only the final expansion gives a row
 for each pair of records, which is the form the result has.
@@ -20,17 +20,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.encodings import PAIRS, restore
-from millrace.session import cut_lineage, table
-
-#: Letters beyond which a word is taken as it stands: no spelling of it less one letter is indexed.
-LONGEST = 60
+from millrace.session import broadcast_if_small, cut_lineage, table
 
 # Street types and their abbreviations, directions, words of units and landmarks.
 TYPES = {
@@ -217,14 +213,86 @@ def components(address: str | None) -> tuple[str, str, str, str, bool] | None:
     return number.lstrip("0") or "0", direction, " ".join(street), kind, cut and not kind and i >= len(tokens)
 
 
+#: Edits that a street word left over in an assignment costs, more than any street may differ by.
+LEFT_OVER = 3
+
+
 def assignment(a: list[str], b: list[str], most: int) -> int:
-    """Edits of the cheapest one-to-one assignment of street words; a word left over costs more than ``most``."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) != len(b) or len(a) > 4:
-        return min(distance("".join(a), "".join(b), most), most + 1)
-    cost = [[distance(x, y, most) for y in b] for x in a]
-    return min(min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b)), len(a))), most + 1)
+    """Edits of the cheapest way to put street words together: one to one, in any order and of any number, a word left over
+    costing ``LEFT_OVER``; or written as one word, where only the blanks differ."""
+    joined = distance("".join(a), "".join(b), most)
+    if joined == 0 or len(a) != len(b) and abs(len(a) - len(b)) * LEFT_OVER > most:
+        return joined
+    size = max(len(a), len(b))
+    cost = [[distance(a[i], b[j], LEFT_OVER) if i < len(a) and j < len(b) else LEFT_OVER for j in range(size)] for i in range(size)]
+    return min(joined, cheapest(cost), most + 1)
+
+
+def cheapest(cost: list[list[int]]) -> int:
+    """The least sum that takes one cost of each row and column (shortest augmenting paths with row and column prices)."""
+    n = len(cost)
+    row_price, column_price, row_of = [0] * (n + 1), [0] * (n + 1), [n] * (n + 1)
+    for start in range(n):
+        row_of[n], at = start, n
+        short, back, done = [1 << 30] * n, [n] * n, [False] * (n + 1)
+        while row_of[at] != n:
+            done[at] = True
+            i, step, following = row_of[at], 1 << 30, n
+            for j in range(n):
+                if not done[j]:
+                    reduced = cost[i][j] - row_price[i] - column_price[j]
+                    if reduced < short[j]:
+                        short[j], back[j] = reduced, at
+                    if short[j] < step:
+                        step, following = short[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    row_price[row_of[j]] += step
+                    column_price[j] -= step
+                elif j < n:
+                    short[j] -= step
+            at = following
+        while at != n:
+            row_of[at], at = row_of[back[at]], back[at]
+    return sum(cost[row_of[j]][j] for j in range(n))
+
+
+def less_one(words: set[str]) -> set[str]:
+    return words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+
+
+def word_keys(word: str) -> set[str]:
+    """Keys of a street word: two words share one wherever they are one edit apart, or two from six letters on.
+
+    Words of up to five letters give their spellings less one letter, those of six and seven less two. Of longer words the
+    first and the last four letters are taken, less one: two edits can't both be in both. A lost letter (``?``) stands for
+    each letter in turn.
+    """
+    forms = {word.replace("?", c) for c in "?abcdefghijklmnopqrstuvwxyz"} if "?" in word else {word}
+    n = len(word)
+    keys: set[str] = less_one(forms) if n <= 7 else set()
+    if 6 <= n <= 7:
+        keys = less_one(keys)
+    if n >= 6:
+        keys |= {f"{w}_" for w in less_one({w[:4] for w in forms})} | {f"_{w}" for w in less_one({w[-4:] for w in forms})}
+    return keys
+
+
+def index_keys(street: str, cut: bool) -> list[str]:
+    """Keys of a street: any two that :func:`same_street` accepts share one, but where more than one letter of a word is lost
+    (``?`` alone is the key that asks for every street of the block).
+
+    Each word is keyed, and the street written as one word where it has several; of words put together in an order of their
+    own at least one pair is at most one edit apart. The first letters cover a street that was cut.
+    """
+    if street == "box" or street.isdigit():
+        return [street]
+    words = {*street.split(), street.replace(" ", "")}
+    keys = set().union(*(word_keys(w) for w in words if w.count("?") <= 1))
+    keys |= {f"^{w}" for w in less_one({street[:6]})} | {f"^^{street[:4]}"}
+    if any(w.count("?") > 1 for w in words) or "?" in street[:6]:
+        keys.add("?")
+    return sorted(keys)
 
 
 def same_street(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool]) -> bool:
@@ -281,7 +349,8 @@ def towns(parsed: DataFrame) -> DataFrame:
         parsed.where("zip <> '' and city <> '' and state <> ''").groupBy("zip", "state", "city").agg(F.count("*").alias("n"))
         .withColumn("r", F.row_number().over(w_zip)).where("r = 1").select("zip", F.col("city").alias("zip_city"), F.col("state").alias("zip_state"))
     )
-    named = parsed.join(of_zip, "zip", "left").withColumn("st", F.when(F.col("state") != "", F.col("state")).otherwise(F.col("zip_state")))
+    blank = parsed.where("zip = ''").withColumn("zip_city", F.lit(None).cast("string")).withColumn("zip_state", F.lit(None).cast("string"))  # never one hot key of a join
+    named = parsed.where("zip <> ''").join(broadcast_if_small(of_zip), "zip", "left").unionByName(blank).withColumn("st", F.when(F.col("state") != "", F.col("state")).otherwise(F.col("zip_state")))
     named = named.withColumn("ct", F.when(F.col("city") != "", F.col("city")).otherwise(F.coalesce(F.when(F.col("zip_state") == F.col("st"), F.col("zip_city")), F.when(F.col("extra") != "", F.col("extra")))))
     named = cut_lineage(named)
     better = usual_spellings(named.where("st is not null and ct is not null"), ["st"], "ct", 3, 2)
@@ -305,42 +374,66 @@ def usual_spellings(df: DataFrame, group: list[str], word: str, times: int, most
 
 def _city_keys(city: str) -> set[str]:
     c = city.replace(" ", "")
-    if len(c) > LONGEST:
-        return {c}
     forms = {c.replace("?", x) for x in "?abcdefghijklmnopqrstuvwxyz"} if c.count("?") == 1 else {c}  # a lost letter is any letter
     return {c.replace("?", "")} | forms | {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
 
 
-def same_places(clients: DataFrame) -> DataFrame:
-    """rec_no_a, rec_no_b of every two records at one location."""
+_PARTS = ["town", "number", "direction", "street", "kind", "cut"]
+
+
+def variants_of(clients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, variants): the variant of each record that has a place, and the components of each variant."""
     read = clients.select(F.col("rec_no").cast("bigint").alias("rec_no"), "address", "city", "state", "zip").where("rec_no is not null and trim(address) <> ''").distinct()
-    placed = towns(read.mapInPandas(_parse, _PARSED)).where("town is not null")
+    placed = towns(cut_lineage(read.mapInPandas(_parse, _PARSED))).where("town is not null")
     # a rare spelling of a street takes the usual one of all towns, one edit away and far more frequent
     words = usual_spellings(placed.where("length(street) >= 5 and street rlike '[a-z]'").select("street"), [], "street", 10, 1)
     placed = placed.join(words, "street", "left").withColumn("street", F.coalesce("usual", "street")).drop("usual")
-    parts = ["town", "number", "direction", "street", "kind", "cut"]
-    members = cut_lineage(placed.select("rec_no", *parts, F.xxhash64(*parts).alias("variant")))
-    variants = members.groupBy("variant").agg(*(F.first(c).alias(c) for c in parts))
-    variants = cut_lineage(variants.withColumn("letters", F.length(F.replace("street", F.lit(" "), F.lit("")))))
-    left = variants.select("town", "number", *(F.col(c).alias(f"{c}_a") for c in ("variant", "direction", "street", "kind", "cut", "letters")))
-    right = variants.select("town", "number", *(F.col(c).alias(f"{c}_b") for c in ("variant", "direction", "street", "kind", "cut", "letters")))
+    members = cut_lineage(placed.select("rec_no", *_PARTS, F.xxhash64(*_PARTS).alias("variant")))
+    return members, cut_lineage(members.groupBy("variant").agg(*(F.first(c).alias(c) for c in _PARTS)))
+
+
+def links(variants: DataFrame) -> DataFrame:
+    """variant_a, variant_b of every two variants of one place."""
+    keys = F.pandas_udf(lambda street, cut: pd.Series([index_keys(s, c) for s, c in zip(street, cut)], dtype=object), "array<string>")
+    keyed = variants.withColumn("key", F.explode(keys("street", "cut")))
+    block = F.xxhash64("town", "number", "key").alias("block")
+    side = lambda df, x, *more: df.select(*more, *(F.col(c).alias(f"{c}_{x}") for c in ("variant", "direction", "street", "kind", "cut")))
+    met = side(keyed.where("key <> '?'"), "a", block).join(side(keyed.where("key <> '?'"), "b", block), "block").where("variant_a < variant_b").drop("block")
+    # several lost letters: the few streets that hold such a word ask every street of their block
+    asked = side(keyed.where("key = '?'"), "a", "town", "number").join(side(variants, "b", "town", "number"), ["town", "number"]).where("variant_a <> variant_b").drop("town", "number")
     # what same_street can never accept isn't handed to it
     given = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    fixed = F.expr("street_a = 'box' or street_b = 'box' or street_a rlike '^[0-9]+$' or street_b rlike '^[0-9]+$'")
-    size = F.col("cut_a") | F.col("cut_b") | (F.abs(F.col("letters_a") - F.col("letters_b")) <= 2)
-    candidates = left.join(right, ["town", "number"]).where("variant_a < variant_b").where(given("direction") & given("kind") & F.when(fixed, F.col("street_a") == F.col("street_b")).otherwise(size)).drop("town", "number", "letters_a", "letters_b")
+    letters = lambda x: F.length(F.replace(f"street_{x}", F.lit(" "), F.lit("")))
+    size = F.col("cut_a") | F.col("cut_b") | (F.abs(letters("a") - letters("b")) <= 2)
+    candidates = met.where(given("direction") & given("kind") & size).distinct().unionByName(asked.where(given("direction") & given("kind") & size))
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [same_street((r.direction_a, r.street_a, r.kind_a, r.cut_a), (r.direction_b, r.street_b, r.kind_b, r.cut_b)) for r in pdf.itertuples(index=False)]
             yield pdf.loc[pd.Series(keep, index=pdf.index, dtype=bool), ["variant_a", "variant_b"]]
 
-    links = candidates.mapInPandas(agree, "variant_a bigint, variant_b bigint")
+    agreed = candidates.mapInPandas(agree, "variant_a bigint, variant_b bigint")
+    return agreed.select(F.least("variant_a", "variant_b").alias("variant_a"), F.greatest("variant_a", "variant_b").alias("variant_b")).distinct()
+
+
+def place_classes(clients: DataFrame) -> DataFrame:
+    """rec_no, variant, records (of the same variant), links (other variants of the same place): one row per record, whatever
+    the number of equal ones."""
+    members, variants = variants_of(clients)
+    pairs = cut_lineage(links(variants))
+    both = pairs.select(F.col("variant_a").alias("variant")).unionByName(pairs.select(F.col("variant_b").alias("variant"))).groupBy("variant").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("variant").agg(F.count("*").alias("records")).join(both, "variant", "left")
+    return members.select("rec_no", "variant").join(sizes, "variant").select("rec_no", "variant", "records", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def same_places(clients: DataFrame) -> DataFrame:
+    """rec_no_a, rec_no_b of every two records at one location."""
+    members, variants = variants_of(clients)
     one = members.select("rec_no", "variant")
     a, b = one.select(F.col("rec_no").alias("ra"), F.col("variant").alias("variant_a")), one.select(F.col("rec_no").alias("rb"), F.col("variant").alias("variant_b"))
-    across = links.join(a, "variant_a").join(b, "variant_b").select(F.least("ra", "rb").alias("rec_no_a"), F.greatest("ra", "rb").alias("rec_no_b"))
+    across = links(variants).join(a, "variant_a").join(b, "variant_b").select(F.least("ra", "rb").alias("rec_no_a"), F.greatest("ra", "rb").alias("rec_no_b"))
     within = a.join(b, F.col("variant_a") == F.col("variant_b")).where("ra < rb").select(F.col("ra").alias("rec_no_a"), F.col("rb").alias("rec_no_b"))
     return across.unionByName(within)
 
 
-QUERIES = {"p3_found": lambda spark, d: same_places(table(spark, d, "client"))}
+QUERIES = {"p3_found": lambda spark, d: same_places(table(spark, d, "client")), "p3_places": lambda spark, d: place_classes(table(spark, d, "client"))}

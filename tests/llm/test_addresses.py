@@ -1,3 +1,6 @@
+import random
+from itertools import permutations
+
 import pytest
 
 from millrace.llm import addresses as A
@@ -22,6 +25,42 @@ def test_without_a_place(text):
 def test_distance_and_assignment():
     assert A.distance("cedar", "cedra") == 1 and A.distance("ni?era", "ninera") == 0 and A.distance("abc", "xyz", 2) == 3
     assert A.assignment(["old", "mill"], ["mill", "old"], 2) == 0
+    assert A.assignment("a big old oak grove".split(), "oak a big old grove".split(), 2) == 0 and A.assignment(["glass", "works"], ["glassworks"], 2) == 0
+    assert A.assignment(["old", "mill"], ["mill"], 2) == 3
+
+
+def test_cheapest_against_all_orders():
+    r = random.Random(4)
+    for n in (1, 2, 3, 4, 5):
+        for _ in range(30):
+            cost = [[r.randint(0, 3) for _ in range(n)] for _ in range(n)]
+            assert A.cheapest(cost) == min(sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(n)))
+
+
+def test_streets_that_agree_share_a_key():
+    """Words in another order, two typos anywhere, lost letters, cut ends: whatever same_street accepts is a candidate."""
+    r = random.Random(9)
+    words = ["kestrelwood", "old", "main", "harbor", "view", "elm", "saffrongate", "mill", "stream", "oaks", "quarry", "cedars"]
+
+    def typo(s):
+        i = r.randrange(len(s))
+        return r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice("abcxyz") + s[i:], s[:i] + r.choice("aeiou") + s[i + 1 :], s[:i] + s[i : i + 2][::-1] + s[i + 2 :], s[:i] + "?" + s[i + 1 :]]) or s
+
+    agreed = 0
+    for _ in range(6000):
+        w = r.sample(words, r.randint(1, 3))
+        a = " ".join(w)
+        r.shuffle(w)
+        b, cut = " ".join(w), False
+        for _ in range(r.randint(0, 2)):
+            b = typo(b).strip() or b
+        if r.random() < 0.2 and len(b) > 5:
+            b, cut = b[: r.randint(4, len(b))].strip(), True
+        if A.same_street(("", a, "", False), ("", b, "", cut)):
+            agreed += 1
+            ka, kb = A.index_keys(a, False), A.index_keys(b, cut)
+            assert "?" in kb or set(ka) & set(kb), (a, b, cut)
+    assert agreed > 2500
 
 
 def test_pairs(spark):
@@ -39,6 +78,9 @@ def test_pairs(spark):
     twice = A.same_places(df.where("rec_no = 1").union(df.where("rec_no = 1").selectExpr("rec_no + 500", "address", "city", "state", "zip", "town", "key")).union(df.where("rec_no >= 1000")))
     assert (1, 501) in [tuple(r) for r in twice.collect()]
     assert A.same_places(df.limit(0)).count() == 0
+    classes = {r["rec_no"]: r for r in A.place_classes(df).collect()}
+    linked = {r for p in got for r in p}
+    assert all((classes[r]["records"] > 1 or classes[r]["links"] > 0) == (r in linked) for r in classes)
 
 
 def test_very_long_and_repeated_rows(spark):
