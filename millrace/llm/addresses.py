@@ -74,18 +74,30 @@ def distance(a: str, b: str, most: int = 3) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    # equal ends cost nothing; between them only the band of the matrix that can end within ``most`` is filled
+    low, size = 0, min(len(a), len(b))
+    while low < size and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < size - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    far, n = most + 1, len(b)
+    before, row = None, [min(j, far) for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
+        new = [far] * (n + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
             best = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y and x != "?" and y != "?"))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+            if before is not None and j > 1 and x == b[j - 2] and y == a[i - 2]:
                 best = min(best, before[j - 2] + 1)
-            new.append(best)
-        if min(new) > most:
-            return most + 1
+            new[j] = best
+        if min(new[max(0, i - most) : i + most + 1]) > most:
+            return far
         before, row = row, new
-    return min(row[-1], most + 1)
+    return min(row[-1], far)
 
 
 def _type(word: str) -> str | None:

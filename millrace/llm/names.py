@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.addresses import LONGEST, distance, folded
+from millrace.llm.addresses import distance, folded, less_one
 from millrace.session import cut_lineage, table
 
 # Legal forms, titles, suffixes, nicknames.
@@ -56,26 +56,35 @@ TYPO, ABBREVIATED, MISSING, UNTOLD, UNLIKE = -4.0, -0.7, -2.3, -0.5, -30.0
 
 
 def _keys(word: str) -> list[str]:
-    """Deletion keys of a name, of each family apart where there are two."""
-    if len(word) > LONGEST:
-        return [word]
-    w = word.replace("?", "")
-    return sorted({w, word} | {word[:i] + word[i + 1 :] for i in range(len(word))})
+    """Deletion keys of a name."""
+    return sorted({word.replace("?", "")} | less_one({word}))
 
 
 def edit_keys(word: str) -> list[str]:
-    """The word and its spellings less one letter, less two from six letters on: words as far apart as :func:`far` allows share
-    one. A lost letter (``?``) stands for each letter in turn; words with more of them meet by length (:func:`alike`)."""
-    if len(word) > LONGEST or word.count("?") > 1:
+    """Words as far apart as :func:`far` allows share one of these: the word and its spellings less one letter, less two from six
+    letters on; of words of eighteen letters and more also their first and last ten letters, less one (two edits can't both be
+    in both), and of words of more than twenty these alone. A lost letter (``?``) stands for each letter in turn; words with
+    more of them meet by length (:func:`alike`)."""
+    if word.count("?") > 1:
         return [word]
-    keys = {word.replace("?", c) for c in "?abcdefghijklmnopqrstuvwxyz"} if "?" in word else {word}
-    last = keys
-    for _ in range(1 if len(word) <= 5 else 2):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        keys = keys | last
+    forms = {word.replace("?", c) for c in "?abcdefghijklmnopqrstuvwxyz"} if "?" in word else {word}
+    n, keys = len(word), set()
+    if n <= 20:
+        keys = less_one(forms)
+        if n > 5:
+            keys = less_one(keys)
+    if n >= 18:
+        keys |= {f"{w}_" for w in less_one({w[:10] for w in forms})} | {f"_{w}" for w in less_one({w[-10:] for w in forms})}
     return sorted(keys)
 
 
+def one_slip(a: str, b: str) -> bool:
+    """Whether one letter dropped from each, at most, makes the words equal."""
+    if max(len(a), len(b)) > 40:
+        return distance(a, b, 1) <= 1
+    return not set(_keys(a)).isdisjoint(_keys(b))
+
+
 def far(word: str) -> F.Column:
     """Edits up to which a spelling may be the word."""
     return F.when(F.length(word) <= 5, 1).otherwise(2)
@@ -91,8 +100,8 @@ def alike(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, wher
     lost = lambda w: F.length(w) - F.length(bare(w))
     met = keyed(left, a).join(keyed(right, b), [*on, "key"]).drop("key")
     # several lost letters: words of like length; a swap is two edits there and a lost letter one
-    sized = left.where(F.length(a) <= LONGEST).withColumn("size", F.length(a))
-    sizes = right.where(F.length(b) <= LONGEST).withColumn("size", F.explode(F.sequence(F.length(b) - 2, F.length(b) + 2)))
+    sized = left.withColumn("size", F.length(a))
+    sizes = right.withColumn("size", F.explode(F.sequence(F.length(b) - 2, F.length(b) + 2)))
     rest = sized.where(lost(F.col(a)) > 1).join(sizes, [*on, "size"]).unionByName(sized.where(lost(F.col(a)) <= 1).join(sizes.where(lost(F.col(b)) > 1), [*on, "size"])).drop("size")
     rest = rest.where(F.levenshtein(bare(F.col(a)), bare(F.col(b))) <= 4 + lost(F.col(a)) + lost(F.col(b)))
     both = met.unionByName(rest.select(met.columns))
@@ -137,6 +146,10 @@ SPECIAL = {
 }
 
 
+#: No known word is longer than this less one letter.
+LONGEST_KNOWN = 40
+
+
 def _near_index(words) -> dict[str, str]:
     """Deletion keys of words of five letters and more."""
     return {k: w for w in words if len(w) >= 5 for k in _keys(w)}
@@ -149,7 +162,7 @@ def trade_of(word: str) -> str | None:
         return word
     if word in SPECIAL:
         return SPECIAL[word]
-    if len(word) >= 5:
+    if 5 <= len(word) <= LONGEST_KNOWN:
         for k in _keys(word):
             w = _TRADE_KEYS.get(k)
             if w and distance(word, w, 1) <= 1:
@@ -211,7 +224,7 @@ def first_names(word: str) -> frozenset[str] | None:
         return frozenset((NICKNAMES[word], *ALSO.get(word, ())))
     if word in _FULL:
         return frozenset((word,))
-    if len(word) >= 4:
+    if 4 <= len(word) <= LONGEST_KNOWN:
         for k in _keys(word):
             w = _FIRST_KEYS.get(k)
             if w and distance(word, w, 1) <= 1:
@@ -307,7 +320,7 @@ def canonical_words(df: DataFrame, times: int = 2) -> DataFrame:
         .select("word", "usual").distinct().withColumn("together", F.lit(True))
     )
     # two slips apart from each other tell the same family only where a place agrees: many families are as near as that
-    slip = F.pandas_udf(lambda a, b: pd.Series([not set(_keys(x)).isdisjoint(_keys(y)) for x, y in zip(a, b)], dtype="bool"), "boolean")
+    slip = F.pandas_udf(lambda a, b: pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype="bool"), "boolean")
     frequent = (F.col("n2") > times * F.col("n")) & ((F.col("d") <= 1) | (F.col("n2") > 4 * F.col("n")) & F.col("slip"))
     scored = scored.withColumn("slip", slip("word", "usual")).join(shared, ["word", "usual"], "left").where(F.col("together") | frequent)
     scored = scored.withColumn("posterior", F.log("n2") + F.lit(TYPO) * F.col("d") + F.when(F.col("together"), F.lit(-TYPO)).otherwise(0.0))
