@@ -1,8 +1,8 @@
 """Personal information inside free text: found by a trained character tagger, replaced by typed placeholders.
 
-The tagger (:mod:`millrace.llm.tagger`) marks spans on whole texts. An exact check follows: a span counts where the line
-holds a text of that kind's form that overlaps it, and then takes exactly the bounds of that text; so a mark that is off by
-a character is put right and a mark on something of another form is dropped. What the tagger doesn't mark isn't found.
+The tagger (:mod:`millrace.llm.tagger`) marks spans on whole texts, and its marks alone decide what is found. Bounds are then
+trimmed: where the line holds a text of the kind's usual form that mostly overlaps the mark, the mark takes its bounds, so one
+that is off by a character is put right; a mark on any other form stays, less the signs around it.
 
 Defined cases: null and empty texts hold nothing; the same text of a kind counts once for a document; repeated documents
 are rows of their own; an empty table gives an empty result; only the named columns are read; texts are read whole, in
@@ -31,7 +31,10 @@ _TYPE = r"(?:Street|St\.?|Avenue|Ave\.?|Av\.?|Road|Rd\.?|Drive|Dr\.?|Lane|Ln\.?|
 _CITY = rf"(?:, {_WORD}(?: {_WORD})?(?:,? [A-Z]{{2}}(?: \d{{5}}(?:-\d{{4}})?)?)?)?"
 _UNIT = r"(?:,? (?:Unit|Apt\.?|Suite|Ste\.?|Floor|Fl\.?|Rm\.?|Room|#) ?#?\w+)?"
 
-#: The form of each kind.
+#: Signs that never begin or end a found text; characters that one has at least.
+EDGES, LEAST = " \t\r\n\"'`,;:<>[]{}()|=*", 4
+
+#: The usual form of each kind, for bounds alone.
 GRAMMAR = {
     "email": re.compile(rf"(?<![\w.@])(?<![\w.][+-]){_USER}{_AT}{_HOST}(?![\w@]|:[\w/])"),
     "phone": re.compile(r"(?<![\w.+-])(?:(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?\(?\d{2,5}\)?(?:[ .-]?\d{2,6}){1,3}|0\d{3,4}[ .-]\d{5,7}|[2-9]\d{9})(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w]|[.-]\d)"),
@@ -39,10 +42,6 @@ GRAMMAR = {
     "street_address": re.compile(rf"(?<![\w.-])(?:\d{{1,5}}[A-Z]? (?:(?:[NSEW]\.?|North|South|East|West|[NS][EW]) )?(?:\d+(?:st|nd|rd|th)|{_WORD})(?: {_WORD}){{0,2}}? {_TYPE}(?![\w])(?: (?:North|South|East|West|[NSEW])\b\.?)?{_UNIT}{_CITY}|(?:P\. ?O\. ?|PO |Post Office )Box \d+{_CITY})"),
     "person_name": re.compile(rf"(?<![\w@.])(?<![\w]-)(?:{_WORD}, {_WORD}(?:-{_WORD})?(?: [{_UP}]\.)?|(?:{_WORD}(?:-{_WORD})?|[{_UP}]\.)(?: [{_UP}]\.)? (?:(?:van|von|de|der|da|del|di|la|le|bin|al) )?[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:['’-][{_UP}]?[{_LOW}{_UP}]+)*)(?![\w@])"),
 }
-#: Words after a first name that make no surname (fixed values).
-NO_SURNAME = set("Call Complete Period Grid Tree View Candidate Descriptor Record Key Index Table Release Node Page Row Column Schema Field Memo Block Offset Header Tag Buffer Cursor Of And The".split())
-
-
 def matches(kind: str, line: str) -> Iterator[re.Match]:
     """All texts of the kind's form on a line; names from every place, since a title or preposition may look like one."""
     rx, at = GRAMMAR[kind], 0
@@ -51,25 +50,8 @@ def matches(kind: str, line: str) -> Iterator[re.Match]:
         at = m.start() + 1 if kind == "person_name" else max(m.end(), m.start() + 1)
 
 
-def name_matches(line: str, first_names: set[str]) -> list[tuple[int, int]]:
-    """Names on a line that begin with a known first name or an initial (used to label training lines)."""
-    out = []
-    for m in matches("person_name", line):
-        words = m[0].split()
-        if words[0].endswith(","):
-            if re.split("-", words[1])[0] in first_names and words[0][:-1].capitalize() not in NO_SURNAME and len(words[0]) > 4:
-                out.append((m.start(), m.end()))
-            continue
-        lead = re.split("[-]", words[0])[0]
-        if words[-1].capitalize() in NO_SURNAME or len(words[-1]) < 4:
-            continue
-        if lead in first_names or lead.capitalize() in first_names or len(words) >= 2 and re.fullmatch(rf"[{_UP}]\.", words[0]) and not re.search(r"\d $", line[: m.start()]) and not re.search(rf" {_TYPE}", line[m.end() : m.end() + 8]):
-            out.append((m.start(), m.end()))
-    return out
-
-
 def exact_spans(text: str, marks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The texts of the marked kinds that the marks overlap, without overlaps among them, in their order."""
+    """The marks with their bounds put right, without overlaps among them, in their order."""
     found: set[tuple[int, int, str]] = set()
     lines: dict[tuple[int, str], list[tuple[int, int]]] = {}
     for a, b, kind in marks:
@@ -83,9 +65,14 @@ def exact_spans(text: str, marks: list[tuple[int, int, str]]) -> list[tuple[int,
         best = max(((2 * (min(b, y) - max(a, x)) - max(b, y) + min(a, x), x, y) for x, y in lines[key]), default=(0, 0, 0))
         both = min(b, best[2]) - max(a, best[1])
         if both > 0 and 2 * both >= min(b - a, best[2] - best[1]):
-            if kind == "person_name" and {w.strip(",").capitalize() for w in text[best[1] : best[2]].split()} & NO_SURNAME:
-                continue
-            found.add((best[1], best[2], kind))
+            a, b = best[1:]
+        else:
+            while a < b and text[a] in EDGES:
+                a += 1
+            while b > a and text[b - 1] in EDGES:
+                b -= 1
+        if b - a >= LEAST:
+            found.add((a, b, kind))
     out: list[tuple[int, int, str]] = []
     for s in sorted(found, key=lambda s: (T.KINDS.index(s[2]), s[0])):
         if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
@@ -98,9 +85,10 @@ def personal(documents: DataFrame, weights: str | None = None) -> DataFrame:
     p = documents.sparkSession.sparkContext.broadcast(T.load(weights or T.WEIGHTS))  # a model of fixed size
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = T.Tagger(p.value)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            spans = [exact_spans(t, m) for t, m in zip(texts, T.tag_texts(p.value, texts))]
+            spans = [exact_spans(t, m) for t, m in zip(texts, tagger(texts))]
             keep = [bool(s) for s in spans]
             out = pdf[keep].copy()
             out["spans"] = pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans if s], index=out.index, dtype=object)

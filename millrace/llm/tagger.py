@@ -1,13 +1,15 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Characters are looked up (so the input needs no product), two LSTMs read a window in either direction, a linear layer scores
-the tags of each character, and a linear-chain CRF ties neighbouring tags. Long texts are scored in overlapping windows; the
+the tags of each character, and a linear-chain CRF ties neighbouring tags. No entity reaches over a line break, so lines are
+scored by themselves, each distinct one once, in batches of like length. Long lines are scored in overlapping windows; the
 scores of a character in several windows are averaged, weighted by its distance to the window's ends, and one Viterbi pass
-over each whole line settles the tags, so windows are reconciled globally. No entity reaches over a line break.
+over each whole line settles the tags, so windows are reconciled globally.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -21,6 +23,10 @@ LINE, TAB, LOWER, UPPER, REST, PAD = 95, 96, 97, 98, 99, 100
 VOCABULARY = 101
 #: Window and stride in characters.
 WINDOW, STRIDE = 128, 96
+_UP = r"[^\W\d_a-z]"
+#: What a line must hold to be scored: an at-sign or word between words, six digits not far apart, a number beside a capital, or
+#: two words with a capital not far apart. The forms of all kinds hold one of these.
+POSSIBLE = re.compile(rf"\w@\w|[\[({{ ]at[\])}} ].*(?:\.\w|dot)|(?:\d[^\w\n]{{0,3}}){{6}}|\d\w? {_UP}|(?<!\w){_UP}\w+\.? #?\d|(?<!\w){_UP}[\w'’.-]*,? (?:\w{{2,3}} ){{0,2}}{_UP}")
 WEIGHTS = Path(__file__).with_name("tagger.npz")
 
 
@@ -65,6 +71,7 @@ def _lstm(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: bool = False):
     h, c = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
     out = np.empty((n, batch, hidden), np.float32)
     memory = []
+    inside = (x != PAD).astype(np.float32)[:, :, None]  # padding leaves no trace, so a line's scores don't depend on its batch
     for t in range(n):
         z = table[x[t]]
         z += h @ u
@@ -72,10 +79,10 @@ def _lstm(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: bool = False):
         s = _sigmoid(z[:, : 3 * hidden])
         i, f, o = s[:, :hidden], s[:, hidden : 2 * hidden], s[:, 2 * hidden :]
         c_old = c
-        c = f * c + i * g
+        c = (f * c + i * g) * inside[t]
         tc = np.tanh(c)
         if keep:
-            memory.append((h, c_old, i, f, o, g, tc))
+            memory.append((h, c_old, i, f, o, g, tc, inside[t]))
         h = o * tc
         out[t] = h
     return (out, memory) if keep else out
@@ -124,17 +131,21 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -
     hidden = p["uf"].shape[0]
     for d, memory, dh_all, xs in (("f", mf, dboth[:, :, :hidden], x), ("b", mb, dboth[::-1, :, hidden:], x[::-1])):
         u = p[f"u{d}"]
-        dx, du = np.zeros_like(p[f"x{d}"]), np.zeros_like(u)
+        du = np.zeros_like(u)
+        all_dz = np.empty((n, batch, 4 * hidden), dh_all.dtype)
         dh, dc = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
         for k in range(n - 1, -1, -1):
-            h, c_old, i, f, o, gg, tc = memory[k]
+            h, c_old, i, f, o, gg, tc, inside = memory[k]
             dh = dh + dh_all[k]
-            dc = dc + dh * o * (1 - tc * tc)
+            dc = (dc + dh * o * (1 - tc * tc)) * inside
             dz = np.concatenate([dc * gg * i * (1 - i), dc * c_old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
             du += h.T @ dz
-            np.add.at(dx, xs[k], dz)
+            all_dz[k] = dz
             dh = dz @ u.T
             dc = dc * f
+        shown = np.zeros((n * batch, VOCABULARY), all_dz.dtype)
+        shown[np.arange(n * batch), xs.reshape(-1)] = 1.0
+        dx = shown.T @ all_dz.reshape(n * batch, -1)
         g[f"x{d}"], g[f"u{d}"], g[f"b{d}"] = dx, du, dx.sum(0)
     return float((z - gold).mean()), g
 
@@ -198,81 +209,86 @@ def _score(p: dict[str, np.ndarray], text: np.ndarray, chunk: int = 1024) -> np.
     return total[:size] / weight[:size, None]
 
 
-def tag_texts(p: dict[str, np.ndarray], texts: Sequence[str], most_chars: int = 400_000) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) of each text. Texts are joined by line breaks and scored in blocks of ``most_chars``."""
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    block: list[int] = []
-    size = 0
-    for i, t in enumerate(texts):
-        block.append(i)
-        size += len(t) + 1
-        if size >= most_chars or i == len(texts) - 1:
-            _tag_block(p, texts, block, out)
-            block, size = [], 0
-    return out
-
-
-#: Characters scored at once; longer texts are cut at a line's end, else at a blank, and scored with a window's margin.
-SEGMENT = 1_000_000
-
-
-def _segments(text: str) -> list[tuple[int, int]]:
-    out, at = [], 0
-    while len(text) - at > SEGMENT:
-        cut = text.rfind("\n", at + SEGMENT // 2, at + SEGMENT) + 1 or text.rfind(" ", at + SEGMENT // 2, at + SEGMENT) + 1 or at + SEGMENT
-        out.append((at, cut))
-        at = cut
-    return [*out, (at, len(text))]
-
-
-def _tag_block(p: dict[str, np.ndarray], texts: Sequence[str], block: list[int], out: list[list[tuple[int, int, str]]]) -> None:
-    joined = "\n".join(texts[i] for i in block)
-    if not joined:
-        return
-    paths = np.concatenate([_paths(p, joined, a, b) for a, b in _segments(joined)])
-    offsets = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in block])])
-    on = np.flatnonzero(paths)
-    if not len(on):
-        return
-    begin = (paths[on] % 2 == 1) | (np.concatenate([[-2], on[:-1]]) + 1 != on) | (np.concatenate([[0], (paths[on[:-1]] + 1) // 2]) != (paths[on] + 1) // 2)
-    firsts = np.flatnonzero(begin)
-    lasts = np.concatenate([firsts[1:], [len(on)]]) - 1
-    owner = np.searchsorted(offsets, on[firsts], "right") - 1
-    for a, b, w in zip(on[firsts], on[lasts], owner):
-        base = offsets[w]
-        out[block[w]].append((int(a - base), int(b - base) + 1, KINDS[(int(paths[a]) - 1) // 2]))
-
-
-def _paths(p: dict[str, np.ndarray], joined: str, begin: int, end: int) -> np.ndarray:
-    """Tags of joined[begin:end], scored with a window of text on either side."""
-    low = max(0, begin - WINDOW)
-    x = codes(joined[low : end + WINDOW])
-    e = _score(p, x)[begin - low : end - low]
-    x = x[begin - low : end - low]
-    breaks = np.flatnonzero(x == LINE)
-    starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(x)]])
-    # a line on which no tag comes near "outside" can't hold anything; the margin covers what transitions can add
-    t = p["t"]
-    margin = float(t.max() - t[0, 0]) + 1.0
-    gain = e[:, 1:].max(1) - e[:, 0]
-    near = np.concatenate([[0], np.cumsum(gain > -margin)])
-    lines = np.flatnonzero((near[ends] - near[starts] > 0) & (ends > starts))
-    lengths = ends[lines] - starts[lines]
-    order = lines[np.argsort(lengths, kind="stable")]
-    paths = np.zeros(len(x), np.int8)
+class Tagger:
+    """Spans of texts by one set of weights, with a bounded memory of the lines seen."""
+
+    def __init__(self, p: dict[str, np.ndarray], most: int = 200_000):
+        self.p, self.most = p, most
+        self.seen: dict[str, tuple[tuple[int, int, str], ...]] = {}
+
+    def __call__(self, texts: Sequence[str], most_chars: int = 4_000_000) -> list[list[tuple[int, int, str]]]:
+        """Spans (start, end, kind) of each text; texts are taken in blocks of ``most_chars``."""
+        out: list[list[tuple[int, int, str]]] = []
+        block: list[str] = []
+        size = 0
+        for i, t in enumerate(texts):
+            block.append(t)
+            size += len(t)
+            if size >= most_chars or i == len(texts) - 1:
+                out += self._block(block)
+                block, size = [], 0
+        return out
+
+    def _block(self, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
+        where: list[list[tuple[int, str]]] = []
+        for t in texts:
+            mine, at = [], 0
+            for line in t.split("\n"):
+                if line and POSSIBLE.search(line):
+                    mine.append((at, line))
+                at += len(line) + 1
+            where.append(mine)
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        fresh = list({line for mine in where for _, line in mine} - self.seen.keys())
+        self.seen.update(zip(fresh, tag_lines(self.p, fresh)))
+        return [[(at + a, at + b, kind) for at, line in mine for a, b, kind in self.seen[line]] for mine in where]
+
+
+def tag_lines(p: dict[str, np.ndarray], lines: Sequence[str], cells: int = 400_000) -> list[tuple[tuple[int, int, str], ...]]:
+    """Spans of each line; ``cells`` characters, padding included, are scored at once."""
+    out: list[tuple[tuple[int, int, str], ...]] = [()] * len(lines)
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
     k = 0
     while k < len(order):
-        n = 1
-        while k + n < len(order) and n < 4096 and (ends[order[k + n]] - starts[order[k + n]]) <= 1.2 * (ends[order[k]] - starts[order[k]]) + 4:
+        longest, n = len(lines[order[k]]), 1
+        if longest > WINDOW:
+            x = codes(lines[order[k]])
+            out[order[k]] = spans_of(viterbi(_score(p, x)[:, None, :], p["t"])[:, 0])
+            k += 1
+            continue
+        while k + n < len(order) and len(lines[order[k + n]]) <= min(WINDOW, longest + longest // 8 + 2) and n * len(lines[order[k + n]]) < cells:
             n += 1
         group = order[k : k + n]
         k += n
-        longest = int((ends[group] - starts[group]).max())
-        pos = starts[group][None, :] + np.arange(longest)[:, None]
-        inside = pos < ends[group][None, :]
-        scores = e[np.minimum(pos, len(x) - 1)]
-        scores[~inside] = -1e4
-        scores[~inside, 0] = 0.0
-        tags = viterbi(scores, t)
-        paths[pos[inside]] = tags[inside]
-    return paths
+        longest = len(lines[group[-1]])
+        x = np.full((longest, n), PAD, np.int16)
+        joined, at = codes("".join(lines[i] for i in group)), 0
+        for j, i in enumerate(group):
+            x[: len(lines[i]), j] = joined[at : at + len(lines[i])]
+            at += len(lines[i])
+        e = emissions(p, x)
+        # a line on which no tag comes near "outside" can't hold anything; the margin covers what transitions can add
+        margin = float(p["t"].max() - p["t"][0, 0]) + 1.0
+        near = np.flatnonzero((((e[:, :, 1:].max(2) - e[:, :, 0]) > -margin) & (x != PAD)).any(0))
+        if not len(near):
+            continue
+        e, pad = e[:, near], x[:, near] == PAD
+        e[pad] = -1e4
+        e[pad, 0] = 0.0
+        tags = viterbi(e, p["t"])
+        for j, i in zip(np.flatnonzero(tags.any(0)), near[tags.any(0)]):
+            out[group[i]] = spans_of(tags[: len(lines[group[i]]), j])
+    return out
+
+
+def spans_of(path: np.ndarray) -> tuple[tuple[int, int, str], ...]:
+    """The tagged runs of one path; a run also begins where its kind changes."""
+    on = np.flatnonzero(path)
+    if not len(on):
+        return ()
+    kind = (path[on] + 1) // 2
+    begin = (path[on] % 2 == 1) | (np.diff(on, prepend=-2) != 1) | (np.diff(kind, prepend=0) != 0)
+    firsts = np.flatnonzero(begin)
+    lasts = np.append(firsts[1:], len(on)) - 1
+    return tuple((int(on[a]), int(on[b]) + 1, KINDS[int(kind[a]) - 1]) for a, b in zip(firsts, lasts))
