@@ -26,7 +26,7 @@ WINDOW, STRIDE = 128, 96
 _UP = r"[^\W\d_a-z]"
 #: What a line must hold to be scored: an at-sign or word between words, six digits not far apart, a number beside a capital, or
 #: two words with a capital not far apart. The forms of all kinds hold one of these.
-POSSIBLE = re.compile(rf"\w@\w|[\[({{ ]at[\])}} ].*(?:\.\w|dot)|(?:\d[^\w\n]{{0,3}}){{6}}|\d\w? {_UP}|(?<!\w){_UP}\w+\.? #?\d|(?<!\w){_UP}[\w'’.-]*,? (?:\w{{2,3}} ){{0,2}}{_UP}")
+POSSIBLE = re.compile(rf"\w@\w|[\[({{ ]at[\])}} ].*(?:\.\w|dot)|(?:\d[^\w\n]{{0,3}}){{6}}|\d\w? {_UP}|\d[A-Za-z] \d|(?<!\w){_UP}\w+\.? #?\d|(?<!\w){_UP}[\w'’.-]*,? (?:\w{{2,3}} ){{0,2}}{_UP}")
 WEIGHTS = Path(__file__).with_name("tagger.npz")
 
 

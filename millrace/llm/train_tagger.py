@@ -205,7 +205,7 @@ class Writer:
             parts = [r.choice(["", "+", "-", " "]), "".join(c + sep for c in cells), 0, "".join(sep + c for c in after)]
             if r.random() < 0.2:
                 parts = [self.lead(), f"INSERT INTO {self.word()} VALUES ({r.randint(1, 99)}, '", 0, f"', {r.randint(0, 9)});"]
-        elif x < 0.93:
+        elif x < (0.86 if kind == "person_name" else 0.93):
             cue = r.choice(self.CUES[kind])
             cue = cue.capitalize() if r.random() < 0.4 else cue
             before = [self.lead(), self.prose(1, 4) + " " if r.random() < 0.4 else "", cue + r.choice([" ", " ", ": "])]
@@ -214,6 +214,12 @@ class Writer:
             wrap = r.choice([("", ""), ("", ""), ("", ""), ("(", ")"), ('"', '"'), ("<", ">"), ("'", "'")])
             tail = r.choice(["", "", ".", ",", f" {self.prose(1, 5)}", f" {self.prose(1, 5)}.", f", {self.prose(1, 4)}", f" and {self.prose(1, 3)}", " */"])
             parts = [*before, wrap[0], 0, wrap[1], tail]
+        elif kind == "person_name" and x < 0.97:  # a name in a sentence of its own
+            verb = r.choice("reviewed discussed tested written checked agreed shared paired traced signed worked seen".split())
+            parts = r.choice([
+                [self.lead(), f"{verb.capitalize()} with ", 0, f" {self.prose(1, 3)}"], [self.lead(), f"{w}-{verb} with ", 0] if (w := self.word()) else [], [self.lead(), 0, f" {r.choice('asked said noticed wrote found wants reported prefers confirmed called saw thinks fixed broke owns tested'.split())} {r.choice(['for', 'that', 'this', 'it', 'about', 'to'])} {self.prose(1, 3)}"],
+                [self.lead(), "as ", 0, f" {r.choice('noticed said found wrote pointed asked reported'.split())} {self.prose(1, 3)}"], [self.lead(), r.choice(["thanks to ", "Thanks to ", "kudos to ", "credit to "]), 0, f" {r.choice(['for', 'and', 'who'])} {self.prose(1, 3)}"],
+            ])
         elif kind == "person_name":
             parts = [self.lead(), r.choice(["", "TODO(", "@author ", "Copyright 2016 ", "(c) 2014 ", "/* ", "Dr. ", "-- "]), 0]
             parts.append(")" if parts[1] == "TODO(" else f" {r.choice('asked said noticed wrote found wants reported prefers confirmed called saw thinks fixed broke owns tested'.split())} {self.prose(1, 5)}" if r.random() < 0.7 else r.choice([f" {r.randint(1990, 2026)} */", ":", "'s patch", f", {self.prose(1, 3)}"]))
@@ -251,7 +257,7 @@ class Writer:
             n, m, thing = r.randint(0, 9), r.randint(0, 999), w() + r.choice(["", w()])
             return self.lead() + r.choice([
                 f"{self.prose(1, 3)} {thing}@{n}.{m}.{r.randint(0, 9)}{r.choice(['', ' ' + self.prose(1, 4), '.'])}", f"{thing}@{r.randint(1, 40)}.{n}", f"{self.prose(1, 3)} {w()}/{thing}@{r.choice('123')}x.{r.choice(['png', 'jpg', 'svg', 'gif'])}{r.choice(['', '.'])}", f"{title()} git@{thing}.{r.choice(['example', 'com', 'test'])}:{w()}/{w()}.git {self.prose(1, 3)}.", f"{self.prose(1, 2)} {w()}@{w()}.{w()}:{w()}/{w()}.git",
-                f"{m} {r.choice(_STREET_TYPES)} {self.prose(1, 5)}{r.choice(['', '.'])}", f"{title()} {m} {self.prose(1, 3)}", f"{self.prose(1, 3)} {m} {self.prose(1, 3)}.", f"{self.prose(1, 4)} is {m}", f"{title()} {title()} {n} {self.prose(0, 2)}", f"{m} {title()} {self.prose(1, 4)}.", f"{m} {title()} {title()} {self.prose(1, 3)}", f"{m}.{n}.{n} {self.prose(0, 3)}", f"{m}, {n}, {m + 3}", f"[{n}, {m}, {r.randint(1, 99)}] {w()}",
+                f"{m} {r.choice(_STREET_TYPES)} {self.prose(1, 5)}{r.choice(['', '.'])}", f"{title()} {m} {self.prose(1, 3)}", f"{self.prose(1, 3)} {m} {self.prose(1, 3)}.", f"{self.prose(1, 4)} is {m}", f"{title()} {title()} {n} {self.prose(0, 2)}", f"{m} {title()} {self.prose(1, 4)}.", f"{m} {title()} {title()} {self.prose(1, 3)}", f"{m}.{n}.{n} {self.prose(0, 3)}", f"{m}, {n}, {m + 3}", f"-----{r.choice(['BEGIN', 'END'])} {w().upper()} {r.choice(['KEY', 'CERTIFICATE', w().upper()])}-----", f"{title()} {w()[:3].upper()}-{self.d(3)}-{self.d(5)}, {w()} {self.d(8)}.", f"{title()} {self.d(r.choice((8, 9, 10, 11)))} {w()}.", f"{self.prose(1, 3)} {r.randint(10, 999)} {w()} {w()} at {n} o'clock. {title()} {r.randint(2, 60)} {w()}", f"[{n}, {m}, {r.randint(1, 99)}] {w()}",
             ])
         if x < 0.55:  # number groups and signs that resemble the kinds
             n, m = r.randint(1, 9), r.randint(10, 999)
@@ -296,7 +302,7 @@ def arrays(rows: list[Line], seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def main(seconds: float, rate: float = 8e-3, warm: bool = False, hidden: int = 32, lines: int = 160_000) -> None:
-    rows = [row for row in written(lines, 5 if warm else 3) if row[0].strip()]
+    rows = [row for row in written(lines, 6 if warm else 3) if row[0].strip()]
     rows.sort(key=lambda row: len(row[0]))  # batches of like length
     held = [row for row in written(4000, seed=77) if row[0].strip()]
     hx, hy = arrays(held)

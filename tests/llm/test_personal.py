@@ -33,7 +33,7 @@ def test_viterbi_against_brute_force():
 
 def test_held_out_lines():
     rows = written(1500, seed=99)
-    spans = T.tag_texts(T.load(), [r[0] for r in rows])
+    spans = T.Tagger(T.load())([r[0] for r in rows])
     right = total = found = 0
     for (line, want), marks in zip(rows, spans):
         got = set(P.exact_spans(line, marks))
@@ -46,7 +46,7 @@ def test_held_out_lines():
 def test_windows_are_reconciled():
     line = "    ping mimbigis_torben@example.org, not the list"
     text = "x = 1; " * 14 + line.strip() + " " + "y = 2; " * 40
-    spans = [P.exact_spans(t, m) for t, m in zip([text], T.tag_texts(T.load(), [text]))][0]
+    spans = [P.exact_spans(t, m) for t, m in zip([text], T.Tagger(T.load())([text]))][0]
     assert ("mimbigis_torben@example.org", "email") in {(text[a:b], k) for a, b, k in spans}
 
 
@@ -63,9 +63,33 @@ def test_found_and_redacted(spark):
     assert P.found_texts(docs.limit(0)).count() == 0
 
 
-def test_long_texts_are_cut_at_lines(monkeypatch):
-    line = "    ping mimbigis_torben@example.org, not the list\n    call 703 555 0187 before deploying\n"
-    whole = T.tag_texts(T.load(), [line * 60])
-    monkeypatch.setattr(T, "SEGMENT", 700)
-    assert T.tag_texts(T.load(), [line * 60]) == whole and len(whole[0]) >= 120
-    assert T.tag_texts(T.load(), ["x" * 5000, "", "\n"])[1:] == [[], []]
+def test_spans_do_not_depend_on_the_batch():
+    lines = [r[0] for r in written(600, seed=5)]
+    alone = [T.tag_lines(T.load(), [line])[0] for line in lines[:150]]
+    assert T.tag_lines(T.load(), lines)[:150] == alone and T.tag_lines(T.load(), lines, 500)[:150] == alone
+    assert T.Tagger(T.load())(["x" * 5000, "", "\n"]) == [[], [], []]
+
+
+def test_lines_passed_over_hold_nothing():
+    """Every line written with a value may hold one by the quick look."""
+    rows = [(line, spans) for line, spans in written(6000, seed=8) if spans]
+    assert all(T.POSSIBLE.search(line) for line, spans in rows)
+
+
+def test_unseen_names_and_forms():
+    """Values that no list or pattern of the trainer holds."""
+    want = {
+        "reviewed by Mateusz Kowalczyk": "Mateusz Kowalczyk", "Author: Thandiwe Nkosi <t.nkosi@wits.example>": "Thandiwe Nkosi", "thanks to Anneliese Brockhaus": "Anneliese Brockhaus", "reported by Obinna Chukwuemeka": "Obinna Chukwuemeka", "Signed-off-by: Padraig Hennessy <p@x.example>": "Padraig Hennessy",
+        "    author = \"Ludmila Vavrova\"": "Ludmila Vavrova", "owner: Giuseppe Tornatore": "Giuseppe Tornatore", "# maintainer: Siobhan McGuigan": "Siobhan McGuigan", "    ping bjarne.s@uni-ulm.de please": "bjarne.s@uni-ulm.de", "mail oyelaran77@futa.example": "oyelaran77@futa.example",
+        "write to k.tanaka at riken dot example": "k.tanaka at riken dot example", "contact: ROSALIND.HU@MIT.EXAMPLE": "ROSALIND.HU@MIT.EXAMPLE", "office: Hauptstraße 15, 10115 Berlin": "Hauptstraße 15, 10115 Berlin", "ships to 4711 Larkspur Hollow Road, Dunmore, PA 18512": "4711 Larkspur Hollow Road, Dunmore, PA 18512", "address: 88 Wexcombe Street": "88 Wexcombe Street",
+        "call 020 7946 0958 today": "020 7946 0958", "tel: +49 30 9018 2044": "+49 30 9018 2044", "phone (617) 253-1000": "(617) 253-1000", "ssn: 078-05-1120": "078-05-1120", "passport XK4471902": "XK4471902",
+    }
+    got = [{line[a:b] for a, b, _ in P.exact_spans(line, marks)} for line, marks in zip(want, T.Tagger(T.load())(list(want)))]
+    missed = [v for v, found in zip(want.values(), got) if v not in found]
+    assert len(missed) <= len(want) // 10, missed
+
+
+def test_very_long_line(spark):
+    text = "some plain words " * 12_000 + "ping mimbigis_torben@example.org, not the list" + " and more words" * 5000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [r["found_text"] for r in P.found_texts(docs).collect()] == ["mimbigis_torben@example.org"]
