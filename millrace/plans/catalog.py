@@ -14,7 +14,7 @@ from millrace.api import Connection, connect
 from millrace.dbf.writer import write_cdx, write_dbf
 from millrace.operators import units
 from millrace.plans import dialect
-from millrace.session import shared_dir, table
+from millrace.session import mounted, shared_dir, table
 from millrace.sources.dbf import read_dbf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ for _name, (_text, _parameters, _check) in dialect.CASES.items():
 
 
 def _folder(spark: SparkSession) -> str:
-    path = os.path.join(shared_dir(spark).removeprefix("file://").removeprefix("file:"), f"xbase-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(mounted(shared_dir(spark)), f"xbase-{uuid.uuid4().hex[:12]}")
     os.makedirs(path, exist_ok=True)
     return path
 
@@ -71,7 +71,7 @@ def write_table(df: DataFrame, path: str, columns: Sequence[tuple[str, str, int,
 NATION = (("N_NATIONKEY", "N", 4, 0), ("N_NAME", "C", 25, 0), ("N_REGIONKEY", "N", 4, 0))
 ORDERS = (("O_ORDERKEY", "I", 4, 0), ("O_CUSTKEY", "N", 12, 0), ("O_STATUS", "C", 1, 0), ("O_PRICE", "B", 8, 0), ("O_DATE", "T", 8, 0), ("O_PRIO", "C", 15, 0))
 PART = (("P_PARTKEY", "I", 4, 0), ("P_NAME", "C", 40, 0), ("P_TYPE", "C", 25, 0), ("P_SIZE", "N", 4, 0), ("P_PRICE", "N", 12, 2))
-PRODUCTS = (("PRODUCTID", "I", 4, 0), ("PRODUCTNAM", "C", 80, 0), ("UNITPRICE", "Y", 8, 4), ("DISCONTINU", "L", 1, 0), ("REC_NO", "N", 12, 0))
+PRODUCTS = (("PRODUCTID", "N", 11, 0), ("PRODUCTNAM", "C", 160, 0), ("UNITPRICE", "N", 20, 4), ("DISCONTINU", "L", 1, 0), ("REC_NO", "N", 12, 0))
 
 
 def _orders(spark: SparkSession, d: str) -> str:
@@ -102,10 +102,12 @@ def src_dbf_types_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_dbf_types_products(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, nulls as blank fields; a blank text and a null one are the same in a file."""
     folder = _folder(spark)
-    df = table(spark, d, "dbase_31").where("unitprice is not null and productid is not null").select("productid", F.coalesce("productnam", F.lit("")).alias("p"), "unitprice", "discontinu", "rec_no")
+    df = table(spark, d, "dbase_31").select("productid", "productnam", "unitprice", "discontinu", "rec_no")
     write_table(df, f"{folder}/products.dbf", PRODUCTS, driver=0xF0, encoding="utf-8")
-    return read_dbf(spark, f"{folder}/products.dbf").toDF("productid", "productnam", "unitprice", "discontinu", "rec_no").select("productid", F.col("unitprice").cast("double").alias("unitprice"), "discontinu", "rec_no")
+    read = read_dbf(spark, f"{folder}/products.dbf").toDF("productid", "productnam", "unitprice", "discontinu", "rec_no")
+    return read.select(F.col("productid").cast("bigint").alias("productid"), F.coalesce("productnam", F.lit("")).alias("productnam"), F.col("unitprice").cast("double").alias("unitprice"), "discontinu", "rec_no")
 
 
 def src_dbf_skip_deleted(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +166,7 @@ QUERIES |= {
 ORACLES |= {
     "src_dbf_roundtrip_nation": "select n_nationkey, n_name, n_regionkey from nation",
     "src_dbf_types_orders": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
-    "src_dbf_types_products": "select cast(productid as bigint) as productid, cast(unitprice as double) as unitprice, discontinu, rec_no from dbase_31 where unitprice is not null and productid is not null",
+    "src_dbf_types_products": "select cast(productid as bigint) as productid, coalesce(trim(productnam, ' '), '') as productnam, cast(unitprice as double) as unitprice, discontinu, rec_no from dbase_31",
     "src_dbf_skip_deleted": "select o_orderkey from orders where o_orderkey % 10 <> 0",
     "src_dbf_include_deleted": "select o_orderkey from orders",
     **{f"src_dbf_memo_{k}": "select doc_id, trim(text, chr(32)) as text from documents" for k in ("three", "four", "foxpro")},

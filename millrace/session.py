@@ -9,16 +9,26 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one is set only where none is configured."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one is set only where none is configured and the
+    executors run on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
+def mounted(folder: str) -> str:
+    """The path of a shared folder as files are opened; a folder of another file system can't hold table files."""
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"table files need a mounted folder, not {folder}")
+    return folder.removeprefix("file://").removeprefix("file:")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from there: a lost executor costs no recomputation of the past."""
     shared_dir(df.sparkSession)

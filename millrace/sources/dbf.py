@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from millrace.dbf import layout as L
 from millrace.dbf.decode import decode_column
 from millrace.dbf.memo import Memo
-from millrace.session import shared_dir
+from millrace.session import mounted, shared_dir
 
 DELETED, END = 0x2A, 0x1A
 _RECORD_INDEX = T.StructField("_record_index", T.LongType(), False)
@@ -150,7 +150,7 @@ def register(spark: SparkSession) -> None:
 
 def read_dbf_bytes(spark: SparkSession, table: bytes, memo: bytes | None = None, **options):
     """A table held in memory, with its memo file: written to the shared folder and read from there."""
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    folder = mounted(shared_dir(spark))
     stem = os.path.join(folder, f"bytes-{uuid.uuid4().hex[:12]}")
     os.makedirs(folder, exist_ok=True)
     with open(f"{stem}.dbf", "wb") as f:
