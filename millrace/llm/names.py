@@ -90,22 +90,88 @@ def far(word: str) -> F.Column:
     return F.when(F.length(word) <= 5, 1).otherwise(2)
 
 
-def alike(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, where: F.Column | None = None) -> DataFrame:
-    """Distinct rows of ``left`` and ``right`` equal in ``on`` whose words ``a`` and ``b`` are at most two edits apart (none is
-    left out that :func:`far` accepts), with their distance ``d``."""
+def _lost(word: str) -> F.Column:
+    """How many letters of a word are lost."""
+    return F.length(word) - F.length(F.replace(word, F.lit("?"), F.lit("")))
+
+
+def _plausible(a: str, b: str) -> F.Column:
+    """Holds wherever two words are at most two edits apart (a swap counts as two there and a lost letter as one)."""
+    a, b = F.col(a), F.col(b)
+    whole = ~F.contains(a, F.lit("?")) & ~F.contains(b, F.lit("?"))
+    near = F.when(whole, F.levenshtein(a, b, 4) >= 0).otherwise(F.levenshtein(a, b) <= 4 + _lost(a) + _lost(b))
+    return (F.abs(F.length(a) - F.length(b)) <= 2) & near
+
+
+#: A block whose words are compared each with each costs at most so many comparisons a word, else they meet by keys.
+COMPARED = 250
+
+
+def met_by_keys(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """Distinct rows equal in ``on`` whose words may be two edits apart: they share one of :func:`edit_keys`, or have like length
+    where one has several lost letters."""
     keys = F.pandas_udf(lambda s: s.map(edit_keys), "array<string>")
-    near = F.pandas_udf(lambda x, y: pd.Series([distance(v, w, 2) for v, w in zip(x, y)], dtype="int32"), "int")
     keyed = lambda df, w: df.withColumn("key", F.explode(F.transform(keys(w), lambda k: F.xxhash64(k))))
-    bare = lambda w: F.replace(w, F.lit("?"), F.lit(""))
-    lost = lambda w: F.length(w) - F.length(bare(w))
     met = keyed(left, a).join(keyed(right, b), [*on, "key"]).drop("key")
-    # several lost letters: words of like length; a swap is two edits there and a lost letter one
+    return met.unionByName(met_by_size(left, right, on, a, b).select(met.columns)).where(_plausible(a, b)).distinct()
+
+
+def met_by_size(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """Rows equal in ``on`` whose words have like length, where one has several lost letters."""
     sized = left.withColumn("size", F.length(a))
     sizes = right.withColumn("size", F.explode(F.sequence(F.length(b) - 2, F.length(b) + 2)))
-    rest = sized.where(lost(F.col(a)) > 1).join(sizes, [*on, "size"]).unionByName(sized.where(lost(F.col(a)) <= 1).join(sizes.where(lost(F.col(b)) > 1), [*on, "size"])).drop("size")
-    rest = rest.where(F.levenshtein(bare(F.col(a)), bare(F.col(b))) <= 4 + lost(F.col(a)) + lost(F.col(b)))
-    both = met.unionByName(rest.select(met.columns))
-    return (both if where is None else both.where(where)).distinct().withColumn("d", near(a, b)).where("d <= 2")
+    rest = sized.where(_lost(a) > 1).join(sizes, [*on, "size"])
+    return rest.unionByName(sized.where(_lost(a) <= 1).join(sizes.where(_lost(b) > 1), [*on, "size"])).drop("size")
+
+
+def met_in_blocks(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, where: F.Column, same: bool = False) -> DataFrame:
+    """Rows equal in ``on`` whose words may be two edits apart: each is compared with each, but those of large blocks meet by
+    keys. Either way none is left out that fulfils ``where``. ``same`` tells that both sides have the same blocks; the rows of each are distinct."""
+    many = left.groupBy(on).agg(F.count("*").alias("n_left"))
+    many = many.withColumn("n_right", F.col("n_left")) if same else many.join(right.groupBy(on).agg(F.count("*").alias("n_right")), on)
+    large = cut_lineage(many.where(F.col("n_left") * F.col("n_right") > COMPARED * (F.col("n_left") + F.col("n_right"))).select(on))
+    if large.isEmpty():
+        return left.join(right, on).where(where & _plausible(a, b))
+    small = left.join(large, on, "left_anti").join(right, on).where(where & _plausible(a, b))
+    return small.unionByName(met_by_keys(left.join(large, on, "left_semi"), right.join(large, on, "left_semi"), on, a, b).where(where).select(small.columns))
+
+
+def alike(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, where: F.Column | None = None, same: bool = False) -> DataFrame:
+    """Rows of ``left`` and ``right``, distinct in each, equal in ``on`` whose words ``a`` and ``b`` are at most two edits apart
+    (none is left out that :func:`far` accepts), with their distance ``d``."""
+    where = F.lit(True) if where is None else where
+    met = met_in_blocks(left, right, on, a, b, where, same) if on else met_by_keys(left, right, on, a, b).where(where)
+    return apart(met, a, b).where("d <= 2")
+
+
+def apart(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with the distance ``d`` of its words, 3 where they are further apart."""
+    near = F.pandas_udf(lambda x, y: pd.Series([distance(v, w, 2) for v, w in zip(x, y)], dtype="int32"), "int")
+    return df.withColumn("d", near(a, b))
+
+
+#: Words up to this length have their keys of one slip built in the plan; :func:`edit_keys` bounds the keys of longer ones.
+PLAIN = 17
+
+
+def met_by_slip(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose words :func:`one_slip` accepts or that are one edit apart, with others."""
+    long = F.pandas_udf(lambda s: s.map(edit_keys), "array<string>")
+    odd = lambda w: (F.length(w) > PLAIN) | F.contains(w, F.lit("?"))
+
+    def keyed(df: DataFrame, w: str) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(PLAIN))))
+        plain = F.array_distinct(F.concat(F.array(w), less))
+        key = lambda ks: F.explode(F.transform(ks, lambda k: F.xxhash64(k)))
+        return df.where(~odd(F.col(w))).withColumn("key", key(plain)).unionByName(df.where(odd(F.col(w))).withColumn("key", key(long(w))))
+
+    met = keyed(left, a).join(keyed(right, b), "key").drop("key")
+    several = left.select(a).unionByName(right.select(F.col(b).alias(a))).where(_lost(a) > 1)
+    return met if several.isEmpty() else met.unionByName(met_by_size(left, right, [], a, b).select(met.columns))
+
+
+_AND, _THE, _TURNED = re.compile(r"\s(\+|/|and)\s|\s*&\s*"), re.compile(r"^\s*the\s+"), re.compile(r"\s*([^,&]+?)\s*,\s*(.+?)\s*")
+_ORG_WORDS, _WORDS, _NUMBER, _NO_DIGIT = re.compile(r"[a-z?']+|&"), re.compile(r"[a-z?']+"), re.compile(r"\d+"), re.compile(r"\D")
 
 
 def org_parts(name: str | None) -> tuple[str, str, str] | None:
@@ -113,14 +179,15 @@ def org_parts(name: str | None) -> tuple[str, str, str] | None:
     if not name or not name.strip():
         return None
     text = folded(name)
-    text = re.sub(r"\s(\+|/|and)\s|\s*&\s*", " & ", f" {text} ")
-    text = re.sub(r"^\s*the\s+", " ", text)
-    if m := re.fullmatch(r"\s*([^,&]+?)\s*,\s*(.+?)\s*", text):  # "Bookshop, Preinbuell", "Cintekell, R. Textiles"
+    text = _AND.sub(" & ", f" {text} ")
+    if "the" in text:
+        text = _THE.sub(" ", text)
+    if "," in text and (m := _TURNED.fullmatch(text)):  # "Bookshop, Preinbuell", "Cintekell, R. Textiles"
         head, tail = m[1], m[2]
         bare = [w for w in re.findall(r"[a-z?]+", tail) if w not in LEGAL]
         if bare:
             text = f"{tail} {head}" if not re.match(r"[a-z]\.", tail) else f"{re.match(r'[a-z]', tail)[0]}. {head} {tail[2:]}"
-    words = [w for w in re.findall(r"[a-z?']+|&", text.replace("'s ", "s "))]
+    words = _ORG_WORDS.findall(text.replace("'s ", "s "))
     while words and (words[-1] in LEGAL or words[-1] == "&"):
         words.pop()
     words = [w for i, w in enumerate(words) if not (w in LEGAL and i > 0)]
@@ -155,17 +222,22 @@ def _near_index(words) -> dict[str, str]:
     return {k: w for w in words if len(w) >= 5 for k in _keys(w)}
 
 
+def _near(word: str, index: dict[str, str]) -> list[str]:
+    """Words of the index that share a key with the word, in the order of the keys; most words share none."""
+    keys = [k for k in (word.replace("?", ""), word, *[word[:i] + word[i + 1 :] for i in range(len(word))]) if k in index]
+    return [index[k] for k in sorted(set(keys))]
+
+
 @lru_cache(maxsize=200_000)
 def trade_of(word: str) -> str | None:
     """The trade that a word of a firm's name stands for, also mistyped."""
-    if word in TRADES:
+    if word in _TRADES:
         return word
     if word in SPECIAL:
         return SPECIAL[word]
     if 5 <= len(word) <= LONGEST_KNOWN:
-        for k in _keys(word):
-            w = _TRADE_KEYS.get(k)
-            if w and distance(word, w, 1) <= 1:
+        for w in _near(word, _TRADE_KEYS):
+            if distance(word, w, 1) <= 1:
                 return SPECIAL.get(w, w)
     return None
 
@@ -196,7 +268,7 @@ def person(last: str | None, first: str | None) -> tuple[str, str, str] | None:
     if not raw:
         return None
     second = folded(first or "").strip()
-    clean = lambda s: [w for w in re.findall(r"[a-z?']+", s) if w not in TITLES and w not in SUFFIXES]
+    clean = lambda s: [w for w in _WORDS.findall(s) if w not in TITLES and w not in SUFFIXES]
     a, b = clean(raw), clean(second)
     if not a and not b:
         return None
@@ -225,14 +297,13 @@ def first_names(word: str) -> frozenset[str] | None:
     if word in _FULL:
         return frozenset((word,))
     if 4 <= len(word) <= LONGEST_KNOWN:
-        for k in _keys(word):
-            w = _FIRST_KEYS.get(k)
-            if w and distance(word, w, 1) <= 1:
+        for w in _near(word, _FIRST_KEYS):
+            if distance(word, w, 1) <= 1:
                 return frozenset((w,))
     return None
 
 
-_FULL = frozenset(FULL)
+_FULL, _TRADES = frozenset(FULL), frozenset(TRADES)
 _FIRST_KEYS = _near_index(FULL)
 _TRADE_KEYS = _near_index([*TRADES, *SPECIAL])
 
@@ -274,12 +345,12 @@ def attribute(forms: list[tuple[str, str, str]], counts: list[int]) -> list[int]
         return (2 if known else 1 if len(first) > 1 else 0, counts[i], len(middle))
 
     order = sorted(range(len(forms)), key=lambda i: (told(i), forms[i]), reverse=True)
-    home = list(range(len(forms)))
+    home, logs = list(range(len(forms))), [np.log(n) for n in counts]
     heads: list[int] = []
     for i in order:
         best, score = i, UNLIKE / 2
         for h in heads:
-            s = np.log(counts[h]) + likelihood(*forms[i], *forms[h])
+            s = logs[h] + likelihood(*forms[i], *forms[h])
             if s > score:
                 best, score = h, s
         home[i] = best
@@ -294,12 +365,12 @@ _PARTS = "rec_no bigint, initials string, family string, trade string, place str
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for r in pdf.itertuples(index=False):
-            f = firm(r.client) or (None, None, None)
-            p = person(r.lastname, r.firstname) or (None, None, None)
-            zip5 = re.sub(r"\D", "", r.zip)[:5] if isinstance(r.zip, str) else ""
-            number = re.search(r"\d+", r.address) if isinstance(r.address, str) else None
-            out.append((r.rec_no, *f, f"{zip5}/{number[0] if number else ''}", *p))
+        for rec_no, client, last, first, code, address in zip(*(pdf[c] for c in ("rec_no", "client", "lastname", "firstname", "zip", "address"))):
+            f = firm(client) or (None, None, None)
+            p = person(last, first) or (None, None, None)
+            zip5 = _NO_DIGIT.sub("", code)[:5] if isinstance(code, str) else ""
+            number = _NUMBER.search(address) if isinstance(address, str) else None
+            out.append((rec_no, *f, f"{zip5}/{number[0] if number else ''}", *p))
         yield pd.DataFrame(out, columns=["rec_no", "initials", "family", "trade", "place", "last", "first", "middle"])
 
 
@@ -309,20 +380,25 @@ def canonical_words(df: DataFrame, times: int = 2) -> DataFrame:
     ``df`` has word and ctx (places and trades it stands at). Candidates are one edit away, two from six letters on, and are more than ``times`` as
     frequent, or at least as frequent where both stand in one context.
     """
-    spelled = df.groupBy("word").agg(F.count("*").alias("n"))
-    spelled = cut_lineage(spelled)
+    spelled = cut_lineage(df.groupBy("word").agg(F.count("*").alias("n")))
+    others = spelled.select(F.col("word").alias("usual"), F.col("n").alias("n2"))
     better = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("usual") < F.col("word"))
-    scored = alike(spelled, spelled.select(F.col("word").alias("usual"), F.col("n").alias("n2")), [], "word", "usual", better)
-    scored = cut_lineage(scored.where(F.col("d") <= far("usual")))
-    contexts = df.select("word", F.explode("ctx").alias("c")).where("c is not null").distinct()
-    shared = (
-        scored.select("word", "usual").join(contexts, "word").join(contexts.select(F.col("word").alias("usual"), F.col("c").alias("c2")), "usual").where("c = c2")
-        .select("word", "usual").distinct().withColumn("together", F.lit(True))
-    )
+    # words that share a context, any two edits apart: each two meet once, then the better one is the candidate
+    contexts = df.select("word", F.explode("ctx").alias("c")).where("c is not null").repartition("c").distinct()
+    there = met_in_blocks(contexts, contexts.select("c", F.col("word").alias("usual")), ["c"], "word", "usual", F.col("word") < F.col("usual"), same=True)
+    there = there.select("word", "usual").distinct()
+    there = there.join(spelled, "word").join(others, "usual").withColumn("better", better)
+    turned = (("word", "usual"), ("usual", "word"), ("n", "n2"), ("n2", "n"))
+    there = there.select(*[F.when(F.col("better"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in turned], F.lit(True).alias("together"))
+    # elsewhere a candidate is more than ``times`` as frequent, so that few words are candidates
+    frequent = F.col("n2") > times * F.col("n")
+    slipped = met_by_slip(spelled, others.where(F.col("n2") > times), "word", "usual").where(frequent & _plausible("word", "usual")).withColumn("together", F.lit(False))
+    met = there.unionByName(slipped.select(there.columns)).groupBy("word", "usual", "n", "n2").agg(F.max("together").alias("together"))
+    scored = apart(met, "word", "usual").where(F.col("d") <= far("usual"))
     # two slips apart from each other tell the same family only where a place agrees: many families are as near as that
     slip = F.pandas_udf(lambda a, b: pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype="bool"), "boolean")
-    frequent = (F.col("n2") > times * F.col("n")) & ((F.col("d") <= 1) | (F.col("n2") > 4 * F.col("n")) & F.col("slip"))
-    scored = scored.withColumn("slip", slip("word", "usual")).join(shared, ["word", "usual"], "left").where(F.col("together") | frequent)
+    scored = scored.where(F.col("together") | (F.col("d") <= 1) | (F.col("n2") > 4 * F.col("n"))).withColumn("slip", slip("word", "usual"))
+    scored = scored.where(F.col("together") | (F.col("d") <= 1) | F.col("slip"))
     scored = scored.withColumn("posterior", F.log("n2") + F.lit(TYPO) * F.col("d") + F.when(F.col("together"), F.lit(-TYPO)).otherwise(0.0))
     best = cut_lineage(scored.groupBy("word").agg(F.max(F.struct("posterior", "usual")).alias("m")).select("word", F.col("m.usual").alias("usual")))
     for _ in range(2):  # the candidate of the candidate
@@ -336,11 +412,13 @@ def organisations(read: DataFrame) -> DataFrame:
     zip5 = F.substring_index("place", "/", 1)
     ctx = F.array(F.when(zip5 != "", F.concat_ws("|", zip5, "trade")), F.when((zip5 != "") & ~F.endswith("place", F.lit("/")), F.col("place")))
     usual = canonical_words(named.select(F.explode(F.split("family", "&")).alias("word"), ctx.alias("ctx")))
-    words = named.select("family").distinct().withColumn("pos_word", F.explode(F.transform(F.split("family", "&"), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))))
+    # a family of one word takes the word's usual spelling, one of several is put together again
+    words = named.where("family like '%&%'").select("family").distinct().withColumn("pos_word", F.explode(F.transform(F.split("family", "&"), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))))
     words = words.select("family", "pos_word.pos", "pos_word.word").join(usual, "word", "left")
     families = words.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("usual", "word").alias("w")))).alias("ws"))
     families = families.select("family", F.array_join(F.transform("ws", lambda x: x["w"]), "&").alias("house"))
-    named = cut_lineage(named.join(families, "family"))
+    families = families.unionByName(usual.select(F.col("word").alias("family"), F.col("usual").alias("house")))
+    named = cut_lineage(named.join(families, "family", "left").withColumn("house", F.coalesce("house", "family")))
     # the firms of a house: its initials, where given, and its trade; a part left out goes to the likeliest firm
     firms = named.where("trade <> '' or family like '%&%'").groupBy("house", "initials", "trade").agg(F.count("*").alias("n"))
     places = named.where("trade <> '' or family like '%&%'").groupBy("house", "initials", "trade", "place").agg(F.count("*").alias("at"))
@@ -392,6 +470,7 @@ def placed_orgs(read: DataFrame, orgs: DataFrame) -> DataFrame:
     known = orgs.where("last is not null and length(last) > 1").groupBy("org", "place", "last").agg(F.count("*").alias("n")).withColumn("zip5", zip5).where("zip5 <> ''")
     asked = alone.select("zip5", "place", "last").distinct()
     there = known.select("zip5", F.col("place").alias("there"), F.col("last").alias("like"), "org", "n")
+    there = there.join(asked.select("zip5").distinct(), "zip5", "left_semi")
     met = alike(asked, there, ["zip5"], "last", "like").where(F.col("d") <= far("like"))
     same = (F.col("place") == F.col("there")) & ~F.endswith("place", F.lit("/"))
     best = met.groupBy("place", "last").agg(F.max(F.struct(same.cast("int").alias("same"), -F.col("d"), F.col("n"), F.col("org"))).alias("m")).select("place", "last", F.col("m.org").alias("org"))
@@ -402,7 +481,7 @@ def _usual_in_org(forms: DataFrame) -> DataFrame:
     """org, last, usual: the most frequent like spelling of a last name inside its organisation."""
     spelled = cut_lineage(forms.groupBy("org", "last").agg(F.sum("n").alias("n")))
     better = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("usual") < F.col("last"))
-    scored = alike(spelled, spelled.select("org", F.col("last").alias("usual"), F.col("n").alias("n2")), ["org"], "last", "usual", better)
+    scored = alike(spelled, spelled.select("org", F.col("last").alias("usual"), F.col("n").alias("n2")), ["org"], "last", "usual", better, same=True)
     best = scored.where(F.col("d") <= far("last")).groupBy("org", "last").agg(F.max(F.struct(F.log("n2") + F.lit(TYPO) * F.col("d"), F.col("usual"))).alias("m")).select("org", "last", F.col("m.usual").alias("usual"))
     best = cut_lineage(best)
     # one more step: the usual form of the usual form

@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import names as N
 
@@ -65,3 +67,49 @@ def test_spellings_two_edits_apart_meet(spark):
     rows = [(i, "Jauneher Supply", None, None, f"{20000 + i}", "1 Elm St") for i in range(8)] + [(9, "Gaunemer Supply", None, None, "30000", "1 Elm St")]
     df = spark.createDataFrame(rows, "rec_no bigint, client string, lastname string, firstname string, zip string, address string")
     assert not [r for r in N.same_names(df).collect() if r.rec_no_b == 9]
+
+
+COLUMNS = "rec_no bigint, client string, lastname string, firstname string, zip string, address string"
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_moved_stay_near_the_records(spark):
+    """Keys for every spelling less two letters moved 128 rows a record."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("bdgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(5))
+    names = [(word().title(), word().title()) for _ in range(500)]
+    rows = [(2 * i + j, f"{org} Bakery", last, "Anna", f"{10000 + i}", f"{i} Elm St") for i, (org, last) in enumerate(names) for j in range(2)]
+    before = _shuffled(spark)
+    assert N.same_names(spark.createDataFrame(rows, COLUMNS)).count() >= 1000
+    assert _shuffled(spark) - before < 75 * len(rows)
+
+
+def test_large_blocks_give_what_small_ones_do(spark, monkeypatch):
+    words = ["crinuabey", "crinaubye", "crinuabeyy", "cr?nuabey", "c?inu?bey", "launtamand", "lauxtamnad", "abcdef", "bcde", "abcd", "abdc", "q" * 30, "q" * 29 + "wq", "q" * 60]
+    df = spark.createDataFrame([(z, w) for z in ("1", "2") for w in words[: 99 if z == "1" else 6]], "z string, a string")
+    right = df.withColumnRenamed("a", "b")
+    want = {(z, v, w) for z, v in map(tuple, df.collect()) for y, w in map(tuple, df.collect()) if y == z and N.distance(v, w, 2) <= (1 if len(w) <= 5 else 2)}
+    for compared in (100, 4, 0):  # none, one and both of the blocks are large
+        monkeypatch.setattr(N, "COMPARED", compared)
+        got = N.alike(df, right, ["z"], "a", "b").where(F.col("d") <= N.far("b"))
+        assert {(r.z, r.a, r.b) for r in got.collect()} == want
+
+
+def test_slips_of_any_word_meet(spark):
+    words = ["gauduxic", "gaduxic", "gaudxuic", "gaudusic", "g?uduxic", "g?ud?xic", "w" * 17, "w" * 18, "w" * 19 + "v", "w" * 21, "w" * 40, "w" * 41, "a", "ab"]
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    got = {(r.a, r.b) for r in N.met_by_slip(df, df.withColumnRenamed("a", "b"), "a", "b").collect()}
+    assert {(v, w) for v in words for w in words if N.distance(v, w, 2) <= 1 or N.distance(v, w, 2) == 2 and N.one_slip(v, w)} <= got
+
+
+def test_large_blocks_of_one_table(spark, monkeypatch):
+    df = spark.createDataFrame([r for r in ROWS if r[1]], COLUMNS)
+    want = sorted(map(tuple, N.same_names(df).collect()))
+    monkeypatch.setattr(N, "COMPARED", 0)
+    assert sorted(map(tuple, N.same_names(df).collect())) == want
