@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.api import Connection, connect
-from millrace.dbf.writer import write_cdx, write_dbf
+from millrace.dbf.writer import encode_records, table_header, write_cdx, write_dbf
 from millrace.operators import units
 from millrace.plans import dialect
 from millrace.session import mounted, shared_dir, table
@@ -46,15 +49,19 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
-def write_table(df: DataFrame, path: str, columns: Sequence[tuple[str, str, int, int]], deleted: Callable[[Any], bool] | None = None, **options: Any) -> int:
-    """``df`` as a table file, streamed through the driver partition by partition; ``deleted`` tells rows to flag."""
+def write_table(df: DataFrame, path: str, columns: Sequence[tuple[str, str, int, int]], deleted: Column | None = None, **options: Any) -> int:
+    """``df`` as a table file, in its order; ``deleted`` tells rows to flag. Tasks encode their partitions beside the file, and
+    these are put together; a table with memos, whose blocks follow each other, is streamed through the driver."""
+    df = df.select("*", F.coalesce(F.lit(False) if deleted is None else deleted, F.lit(False)).alias("_deleted"))
+    if all(c[1] != "M" for c in columns):
+        return _write_parts(df, path, columns, **options)
     gone: list[int] = []
 
     def rows():
         for i, r in enumerate(df.toLocalIterator(prefetchPartitions=True)):
-            if deleted is not None and deleted(r):
+            if r["_deleted"]:
                 gone.append(i)
-            yield tuple(r)
+            yield tuple(r)[:-1]
 
     n = write_dbf(path, columns, rows(), **options)
     if gone:
@@ -68,6 +75,35 @@ def write_table(df: DataFrame, path: str, columns: Sequence[tuple[str, str, int,
     return n
 
 
+def _write_parts(df: DataFrame, path: str, columns: Sequence[tuple[str, str, int, int]], version: int = 0x03, driver: int = 0x03, encoding: str = "cp1252") -> int:
+    folder = f"{path}-parts"
+    os.makedirs(folder)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = TaskContext.get().partitionId(), 0
+        name = f"{part}-{uuid.uuid4().hex[:12]}"  # a repeated task writes a file of its own
+        with open(f"{folder}/{name}", "wb") as f:
+            for b in batches:
+                if b.num_rows:
+                    f.write(encode_records(columns, b.columns[:-1], b.columns[-1].to_numpy(zero_copy_only=False), encoding))
+                    rows += b.num_rows
+        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n": [rows]})
+
+    try:
+        parts = sorted(tuple(r) for r in df.mapInArrow(encode, "part bigint, name string, n bigint").collect())
+        n = sum(p[2] for p in parts)
+        with open(path, "wb") as out:
+            out.write(table_header(columns, n, version, driver, encoding))
+            for _, name, _ in parts:
+                with open(f"{folder}/{name}", "rb") as f:
+                    shutil.copyfileobj(f, out, 8 << 20)
+                os.remove(f"{folder}/{name}")  # the table is never there twice
+            out.write(b"\x1a")
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return n
+
+
 NATION = (("N_NATIONKEY", "N", 4, 0), ("N_NAME", "C", 25, 0), ("N_REGIONKEY", "N", 4, 0))
 ORDERS = (("O_ORDERKEY", "I", 4, 0), ("O_CUSTKEY", "N", 12, 0), ("O_STATUS", "C", 1, 0), ("O_PRICE", "B", 8, 0), ("O_DATE", "T", 8, 0), ("O_PRIO", "C", 15, 0))
 PART = (("P_PARTKEY", "I", 4, 0), ("P_NAME", "C", 40, 0), ("P_TYPE", "C", 25, 0), ("P_SIZE", "N", 4, 0), ("P_PRICE", "N", 12, 2))
@@ -77,7 +113,7 @@ PRODUCTS = (("PRODUCTID", "N", 11, 0), ("PRODUCTNAM", "C", 160, 0), ("UNITPRICE"
 def _orders(spark: SparkSession, d: str) -> str:
     folder = _folder(spark)
     df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").orderBy("o_orderkey")
-    write_table(df, f"{folder}/orders.dbf", ORDERS, lambda r: r["o_orderkey"] % 10 == 0)
+    write_table(df, f"{folder}/orders.dbf", ORDERS, F.col("o_orderkey") % 10 == 0)
     return folder
 
 

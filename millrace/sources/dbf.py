@@ -3,9 +3,10 @@
 Options: ``encoding``, ``stringTrimming`` (none, trim, trimStart, trimEnd), ``readFloatsAsDecimals``, ``skipDeleted``,
 ``columns`` (ordinals to decode, comma-separated; empty: none), ``metadata`` (adds ``_record_index`` and ``_deleted``),
 ``startOffset``, ``startRecord``, ``recordCount``, ``recordIds`` (runs ``a-b`` of an index search), ``memo``,
-``partitionBytes``, ``findEnd`` (false: no look at all status bytes while planning, for
-files known to end where they are full). The file must be visible to all executors. Records end at the file's end, at a partial record, or at a
-record whose status byte is 0x1A; the header's count never bounds a scan.
+``partitionBytes`` (of a part; of more than ``FEW_TASKS`` parts a task scans several, one by one, of ``TASK_BYTES`` together at most),
+``findEnd`` (false: no look at all status bytes while planning, for files known to end where they are full). The file must be
+visible to all executors. Records end at the file's end, at a partial record, or at a record whose status byte is 0x1A; the
+header's count never bounds a scan.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from millrace.dbf.memo import Memo
 from millrace.session import mounted, shared_dir
 
 DELETED, END = 0x2A, 0x1A
+#: A task costs some 40 ms of CPU besides what it reads, so many small parts of a scan are gathered.
+FEW_TASKS, TASK_BYTES = 200, 16 << 20
 _RECORD_INDEX = T.StructField("_record_index", T.LongType(), False)
 _IS_DELETED = T.StructField("_deleted", T.BooleanType(), False)
 
@@ -121,12 +124,14 @@ class DbfReader(DataSourceReader):
                     out.append(Range(current))
                     current, n = [], 0
             return [*out, *([Range(current)] if current else [])] or [Range([])]
+        parts, most = -(-(end - self.start) // size), TASK_BYTES // (size * max(self.table.record_length, 1))
+        size *= max(1, min(most, -(-parts // FEW_TASKS)))
         return [Range([(a, min(a + size, end))]) for a in range(self.start, end, size)] or [Range([])]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         t = self.table
         memo = Memo(self.memo, t) if self.memo and any(f.type == "M" for f in self.chosen) else None
-        step = max(1, (4 << 20) // max(t.record_length, 1))
+        step = max(1, min(4 << 20, self.bytes) // max(t.record_length, 1))
         with open(self.path, "rb") as f:
             for a, b in partition.runs:
                 for at in range(a, b, step):
